@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import media, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_redirect_equivalence": url_filter.op1_redirect_equivalence,
+        "op3_netpbm_tiles": media.op3_netpbm_tiles,
         "op8_sampled_splitters": sharding.op8_sampled_splitters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_redirect_equivalence": url_filter.ORACLE_SQL,
+    }

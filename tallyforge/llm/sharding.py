@@ -14,7 +14,7 @@ import bisect
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, stage, table
+from .shared import stage, table
 
 Key = tuple[int, int]  # hash of the text, hash of the doc_id
 
@@ -136,4 +136,3 @@ def op8_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["drop", "op8_sampled_splitters", "range_shards", "shard_documents"]
