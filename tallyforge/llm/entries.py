@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, sharding, url_filter
+from . import bpe, media, sharding, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_redirect_equivalence": url_filter.op1_redirect_equivalence,
+        "op2_zstd_dictionary": token_files.op2_zstd_dictionary,
         "op3_netpbm_tiles": media.op3_netpbm_tiles,
         "op8_sampled_splitters": sharding.op8_sampled_splitters,
+        "op9_backtracking_bpe": bpe.op9_backtracking_bpe,
     }
 
 
