@@ -8,7 +8,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -24,8 +27,10 @@ from .shared import table
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on whose classes all Unicode versions agree; a text with others is cut by the library.
 _SETTLED = regex.compile(r"[^\u0000-՗ -⁯₠-₿℀-⅏　-ヿ一-龥가-힣\U0001f300-\U0001f5ff]")
-#: Pieces whose ids a worker remembers, and the longest such piece. Past the first the memory starts anew.
-REMEMBERED, LONGEST = 800_000, 48
+#: What keeps a text from being cut at its spaces: rare characters, and white space other than spaces and line feeds.
+_UNCOMMON = re.compile(r"[^\n !-~\u00a1-\u024f\u0400-\u045f\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac]")
+#: Words and pieces whose ids a worker remembers, and the longest such one. Past this number of each no more are added: those seen first are the frequent ones.
+REMEMBERED, LONGEST = 500_000, 48
 #: Bytes of a result batch.
 BATCH_BYTES = 8 << 20
 
@@ -112,9 +117,8 @@ class BacktrackingEncoder:
         known = self.fits.get(key)
         if known is None:
             known = self._compatible(a, b)
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            self.fits[key] = known
+            if len(self.fits) < 300_000:
+                self.fits[key] = known
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -172,34 +176,23 @@ def split_pieces(text: str, pattern: regex.Pattern, library: Callable[[], object
     return pattern.findall(text)
 
 
-class PieceMemory(dict):
-    """Piece to its ids as bytes; what is missing is encoded once."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.encode(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class TextEncoder:
-    """Whole texts to ids as little-endian unsigned 32-bit integers, as the tokenizers library gives them."""
+    """Whole texts to ids as little-endian unsigned 32-bit integers, as the tokenizers library gives them.
+
+    Most texts are cut at their spaces: a piece never spans a space that has a visible character on either side, so a
+    word's ids with the space before it don't depend on its surroundings and are remembered. Texts with other white
+    space beside spaces, or with characters outside the common ranges, are cut into pieces one by one.
+    """
 
     def __init__(self, spec: str, own: bool) -> None:
         self.spec, self.own, self.made = spec, own, None
         self.v = Vocabulary(spec)
         self.pattern = regex.compile(PIECE)
-        if own:
-            encoder = BacktrackingEncoder(self.v)
-            self.memory = PieceMemory(lambda piece: np.array(encoder.encode(piece.encode()), "<u4").tobytes())
-        else:
-            self.memory = PieceMemory(lambda piece: np.array(self.library().encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+        self.spelled = {b: c for c, b in byte_alphabet().items()}
+        self.most = REMEMBERED // 2 if own else REMEMBERED  # the own encoder's tables take room too
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.encoder = BacktrackingEncoder(self.v) if own else None
 
     def library(self) -> object:
         if self.made is not None:
@@ -216,25 +209,43 @@ class TextEncoder:
         if not text:
             return b""
         parts = self.v.cut_special.split(text) if self.v.cut_special and any(s in text for s in self.v.special) else [text]
-        out = []
-        for part in parts:
-            if part in self.v.special:
-                out.append(np.array([self.v.special[part]], "<u4").tobytes())
-            elif part:
-                pieces = split_pieces(part, self.pattern, self.library)
-                if not self.own:
-                    self._fill(pieces)
-                out.append(b"".join(map(self.memory.__getitem__, pieces)))
-        return b"".join(out)
-
-    def _fill(self, pieces: list[str]) -> None:
-        """The library encodes many new pieces in one call."""
-        new = [p for p in set(pieces) if p not in self.memory and len(p) <= LONGEST]
-        if len(new) + len(self.memory) > REMEMBERED:
-            self.memory.clear()
-            new = [p for p in set(pieces) if len(p) <= LONGEST][:REMEMBERED]
-        for piece, found in zip(new, self.library().encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memory[piece] = np.array(found.ids, "<u4").tobytes()
+        return b"".join(
+            array("I", [self.v.special[part]]).tobytes() if part in self.v.special else self._plain(part) for part in parts if part
+        )
+
+    def _plain(self, text: str) -> bytes:
+        if "   " in text or " \n" in text or "\n " in text or _UNCOMMON.search(text):
+            return b"".join(self._pieces(split_pieces(text, self.pattern, self.library)))
+        head, *words = text.split(" ")
+        known = self.words
+        found = list(map(known.get, words))
+        new = {w for w, ids in zip(words, found, strict=True) if ids is None}
+        if new:
+            cut = [self.pattern.findall(" " + w) for w in new]
+            ids = iter(self._pieces([p for pieces in cut for p in pieces]))
+            made = {w: b"".join(islice(ids, len(pieces))) for w, pieces in zip(new, cut, strict=True)}
+            found = [made[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            if len(known) < self.most:
+                known.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
+        return b"".join(self._pieces(self.pattern.findall(head)) + found)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; what is new is encoded in one call and remembered."""
+        known = self.pieces
+        found = list(map(known.get, pieces))
+        new = list({p for p, ids in zip(pieces, found, strict=True) if ids is None})
+        if new:
+            made = dict(zip(new, self._encode(new), strict=True))
+            found = [made[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+            if len(known) < self.most:
+                known.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST)
+        return found
+
+    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
+        if self.own:
+            return (array("I", self.encoder.encode(p.encode())).tobytes() for p in pieces)
+        model, spelled = self.library().model, self.spelled
+        return (array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(spelled))]).tobytes() for p in pieces)
 
 
 _made: dict[tuple[str, bool], TextEncoder] = {}
@@ -248,6 +259,15 @@ def encoder(spec: str, own: bool) -> TextEncoder:
     return _made[key]
 
 
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary(spec: str) -> Vocabulary:
+    if spec not in _vocabularies:
+        _vocabularies[spec] = Vocabulary(spec)
+    return _vocabularies[spec]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -298,7 +318,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFr
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = encoder(spec.value, True).v
+        v = vocabulary(spec.value)
         rows = (
             (i, ids, None if ids is None else v.decode(np.frombuffer(ids, "<u4").astype(np.int64)))
             for b in batches for i, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
@@ -308,8 +328,29 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFr
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
+def round_trip(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, ids and decoded of every row, encoded by the backtracking encoder and decoded from the ids in one pass.
+
+    Nulls and empty texts as in ``encode_documents``; both have an empty decoded text.
+    """
+    spec = load(documents.sparkSession, tokenizer or default_tokenizer())
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(spec.value, True)
+
+        def row(i: int | None, text: str | None) -> tuple:
+            ids = encode(text)
+            return i, ids, encode.v.decode(np.frombuffer(ids, "<u4").astype(np.int64))
+
+        rows = (row(i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield from in_batches(rows, schema, lambda r: 16 + 2 * len(r[1]))
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+
+
 def op9_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+    found = round_trip(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

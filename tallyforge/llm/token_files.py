@@ -123,7 +123,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
     n = docs.count()
     drawn = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 40)) < F.lit(int(min(1.0, SAMPLED_DOCUMENTS / max(n, 1)) * (1 << 40)))
     spec = bpe.load(spark, tokenizer or bpe.default_tokenizer())
-    unit = 2 if max(len(bpe.encoder(spec.value, False).v.tokens) - 1, end_id) < 1 << 16 else 4
+    unit = 2 if max(len(bpe.vocabulary(spec.value).tokens) - 1, end_id) < 1 << 16 else 4
     sample = bpe.encode_documents(docs.where(drawn).limit(4 * SAMPLED_DOCUMENTS), tokenizer, own=False)
     end = struct.pack("<I", end_id)
     pieces = F.substring("ids", 1, 4 * SAMPLE_BYTES)  # only to train on
