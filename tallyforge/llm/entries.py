@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, pii, sharding, token_files, url_filter
+from . import bpe, media, packing, pii, quality, sharding, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_zstd_dictionary": token_files.op2_zstd_dictionary,
         "op3_netpbm_tiles": media.op3_netpbm_tiles,
         "op4_offset_deobfuscation": pii.op4_offset_deobfuscation,
+        "op5_weak_labels": quality.op5_weak_labels,
         "op8_sampled_splitters": sharding.op8_sampled_splitters,
         "op9_backtracking_bpe": bpe.op9_backtracking_bpe,
         "op10_large_item_matching": packing.op10_large_item_matching,
