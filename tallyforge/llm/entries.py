@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, pii, quality, sharding, token_files, url_filter
+from . import bpe, jaccard, media, packing, pii, quality, sharding, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_netpbm_tiles": media.op3_netpbm_tiles,
         "op4_offset_deobfuscation": pii.op4_offset_deobfuscation,
         "op5_weak_labels": quality.op5_weak_labels,
+        "op6_jaccard_regions": jaccard.op6_jaccard_regions,
         "op8_sampled_splitters": sharding.op8_sampled_splitters,
         "op9_backtracking_bpe": bpe.op9_backtracking_bpe,
         "op10_large_item_matching": packing.op10_large_item_matching,

@@ -85,7 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
         used.append(e)
     if not picks:
         drop(*used)
-        return edges.where("a is not null and a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+        loops = edges.where("a is not null and a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+        return stage(loops, "components")
     root = picks[-1].select("node", "to")
     for pick in picks[-2::-1]:  # from the smallest graph back to the whole one; sizes fall geometrically
         later = root.select(F.col("node").alias("to"), F.col("to").alias("end"))
