@@ -141,13 +141,13 @@ def neighbourhood_exact(db: Database, query: str) -> DataFrame:
         up = [e for e in mine if e.child == table]
         down = [e for e in mine if e.parent == table]
         keep = {f"{table}.{e.column_of(table)}" for e in [*mine, *([via] if via else [])]}
-        keep |= {f"{e.parent}.{e.pk}" for e in up}
+        keep |= {f"{e.parent}.{f.column_of(e.parent)}" for e in up for f, _ in near[e.parent]}
         rows = _star(db, table, up, b, keep).withColumn("__p__", F.col("__ok__"))
         for e in down:
             rows = _times(rows, f"{table}.{e.pk}", e, chained((e.child, e)))
         for e in up:  # the parent's other neighbourhoods, through the common table
             for f in [f for f, _ in near[e.parent] if f != e]:
-                rows = _times(rows, f"{e.parent}.{f.pk if f.parent == e.parent else f.fk}", f, chained((f.other(e.parent), f)))
+                rows = _times(rows, f"{e.parent}.{f.column_of(e.parent)}", f, chained((f.other(e.parent), f)))
         return rows
 
     def _times(rows: DataFrame, key: str, e: FkDef, below: DataFrame) -> DataFrame:
