@@ -31,7 +31,7 @@ from .shared import components, drop, parallelism, stage, table
 WORDS = 5
 #: Similarity 80 / 100.
 PART, WHOLE = 80, 100
-SMALL = 64  # documents of a region that lists its pairs
+SMALL = 24  # documents of a region that lists its pairs
 BLOCK = 512  # documents of a block of a larger region
 HEAVY = 64  # documents with a shingle from which it comes late in the order
 MOST_HEAVY = 1 << 17  # shingles that are ordered by frequency at most (1 MB); it changes the work, not the result
@@ -68,8 +68,8 @@ def node_of(found: np.ndarray) -> int:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """Parity of the number of shingles that fall on each of 4 to 8 bits a shingle (a power of two)."""
-    bits = min(MOST_BITS, 64 << max(0, int(4 * len(found) - 1).bit_length() - 6)) if len(found) > 16 else 64
+    """Parity of the number of shingles that fall on each of 1 to 2 bits a shingle (a power of two, 64 at least)."""
+    bits = min(MOST_BITS, 64 << max(0, (len(found) - 1).bit_length() - 6))
     counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -166,14 +166,15 @@ def frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- second pass: regions ------------------------------------------------------------------------------------------
 
-_SECOND = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("s", pa.int64()), ("node", pa.int64())])
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.int64()), ("node", pa.int64())])
+_SECOND = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+LATE = -1  # the bucket in which a block of rows of frequent shingles says what it is
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.int64()), ("node", pa.int64()), ("late", pa.bool_())])
 
 
-def _pairs_of_runs(s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs_of_runs(s: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (a < b) that share a value of s in runs of up to SMALL nodes, and a mask of rows in longer runs.
 
-    s, node: sorted by both, without repeated rows.
+    s, node: sorted by both, without repeated rows; n: the nodes' sizes, which rule pairs out.
     """
     if not len(s):
         return node[:0], node[:0], np.zeros(0, bool)
@@ -181,12 +182,13 @@ def _pairs_of_runs(s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndar
     lengths = np.diff(np.r_[starts, len(s)])
     left, right = [], []
     for m in np.unique(lengths[(lengths > 1) & (lengths <= SMALL)]):
-        runs = node[starts[lengths == m][:, None] + np.arange(m)]
+        at = starts[lengths == m][:, None] + np.arange(m)
         # Families share many regions: each set of members is taken once.
-        runs = runs[np.unique([xxhash.xxh3_64_intdigest(r.tobytes()) for r in runs], return_index=True)[1]] if len(runs) > 1 else runs
-        i, j = np.triu_indices(int(m), 1)
-        left.append(runs[:, i].ravel())
-        right.append(runs[:, j].ravel())
+        at = at[np.unique([xxhash.xxh3_64_intdigest(r.tobytes()) for r in node[at]], return_index=True)[1]]
+        i, j = (x.ravel() for x in (at[:, k] for k in np.triu_indices(int(m), 1)))
+        fits = WHOLE * np.minimum(n[i], n[j]) >= PART * np.maximum(n[i], n[j])
+        left.append(node[i[fits]])
+        right.append(node[j[fits]])
     if not left:
         a = b = node[:0]
     else:
@@ -200,21 +202,23 @@ def _second_pass(heavy: np.ndarray, rank: np.ndarray, buckets: int):  # noqa: AN
         seen: set[int] = set()
         light: list[np.ndarray] = []
         late: list[np.ndarray] = []
-        names: list[tuple[int, int, int]] = []
+        names: list[tuple[int, int, int, int]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            node = np.repeat(np.array([x[0] for x in names], np.int64), [x[1] for x in names])
-            s = np.concatenate(light) if light else np.zeros(0, np.uint64)
-            bucket = (s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            s, node, bucket = s[order], node[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(s) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(s)], strict=True):
-                yield _batch(_SECOND, bucket=[int(bucket[lo])], block=[s[lo:hi].tobytes() + node[lo:hi].tobytes()])
-            rows = np.concatenate(late) if late else np.zeros(0, np.uint64)
-            if len(rows):
-                yield _batch(_SECOND, s=rows.view(np.int64), node=np.repeat(np.array([x[0] for x in names], np.int64), [x[2] for x in names]))
+            nodes, sizes, soon, then = (np.array(x, np.int64) for x in zip(*names, strict=True))
+            for rows, each, kind in ((light, soon, 0), (late, then, LATE)):
+                s = np.concatenate(rows)
+                if not len(s):
+                    continue
+                bucket = (s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                s, bucket = s[order], bucket[order]
+                node, n = np.repeat(nodes, each)[order], np.repeat(sizes, each)[order].astype(np.uint32)
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                for lo, hi in zip(cuts, [*cuts[1:], len(s)], strict=True):
+                    block = np.array([kind], np.int64).tobytes() + s[lo:hi].tobytes() + node[lo:hi].tobytes() + n[lo:hi].tobytes()
+                    yield _batch(_SECOND, bucket=[int(bucket[lo])], block=[block])
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -229,7 +233,7 @@ def _second_pass(heavy: np.ndarray, rank: np.ndarray, buckets: int):  # noqa: AN
                 p = prefix_size(len(found))
                 light.append(soon[:p])
                 late.append(then[: max(0, p - len(soon))])
-                names.append((node, len(light[-1]), len(late[-1])))
+                names.append((node, len(found), len(light[-1]), len(late[-1])))
                 size += p
                 if size >= CHUNK // 2:
                     yield from flush()
@@ -241,30 +245,36 @@ def _second_pass(heavy: np.ndarray, rank: np.ndarray, buckets: int):  # noqa: AN
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blocks of a partition's buckets: pairs of small regions, rows of larger ones."""
-    s, node = [], []
+    """All blocks of a partition's buckets: pairs of small regions, rows of larger ones. Rows of frequent shingles pass
+    through, as only an aggregation that is partial before its shuffle can tell the size of their regions."""
+    s, node, n = [], [], []
     for b in batches:
         for block in b.column(0).to_pylist():
-            half = len(block) // 2
-            s.append(np.frombuffer(block, np.uint64, half // 8))
-            node.append(np.frombuffer(block, np.int64, half // 8, half))
+            kind, rows = np.frombuffer(block, np.int64, 1)[0], (len(block) - 8) // 20
+            parts = np.frombuffer(block, np.uint64, rows, 8), np.frombuffer(block, np.int64, rows, 8 + 8 * rows)
+            if kind == LATE:
+                yield _batch(_PAIRS, s=parts[0].view(np.int64), node=parts[1], late=np.ones(rows, bool))
+            else:
+                s.append(parts[0])
+                node.append(parts[1])
+                n.append(np.frombuffer(block, np.uint32, rows, 8 + 16 * rows).astype(np.int64))
     if not s:
         return
-    s, node = np.concatenate(s), np.concatenate(node)
+    s, node, n = np.concatenate(s), np.concatenate(node), np.concatenate(n)
     order = np.argsort(s, kind="stable")
-    s, node = s[order], node[order]
+    s, node, n = s[order], node[order], n[order]
     twice = np.r_[False, s[1:] == s[:-1]]
     twice[:-1] |= twice[1:]
-    s, node = s[twice], node[twice]
+    s, node, n = s[twice], node[twice], n[twice]
     order = np.lexsort((node, s))
-    s, node = s[order], node[order]
+    s, node, n = s[order], node[order], n[order]
     new = np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])] if len(s) else np.zeros(0, bool)
-    s, node = s[new], node[new]
-    a, b, large = _pairs_of_runs(s, node)
+    s, node, n = s[new], node[new], n[new]
+    a, b, large = _pairs_of_runs(s, node, n)
     for lo in range(0, len(a), 100_000):
         yield _batch(_PAIRS, a=a[lo : lo + 100_000], b=b[lo : lo + 100_000])
     if large.any():
-        yield _batch(_PAIRS, s=s[large].view(np.int64), node=node[large])
+        yield _batch(_PAIRS, s=s[large].view(np.int64), node=node[large], late=np.zeros(int(large.sum()), bool))
 
 
 def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,21 +354,19 @@ class Join:
         """(a, b) of all small regions, and (s, node) of the larger ones."""
         heavy, rank = frequent(self.first)
         buckets = parallelism(self.spark)
-        second = self.keep(self.docs.select("text").mapInArrow(_second_pass(heavy, rank, buckets), "bucket int, block binary, s long, node long"), "regions")
-        blocks = second.where("block is not null").select("block", "bucket")
+        blocks = self.docs.select("text").mapInArrow(_second_pass(heavy, rank, buckets), "bucket int, block binary")
         met = self.keep(
-            blocks.repartitionById(buckets, "bucket").select("block").mapInArrow(_meet, "a long, b long, s long, node long"), "met"
+            blocks.repartitionById(buckets, "bucket").select("block").mapInArrow(_meet, "a long, b long, s long, node long, late boolean"), "met"
         )
-        rows = second.where("s is not null").select("s", "node").distinct()
+        rows = met.where("s is not null").groupBy("s", "node").agg(F.lit(1).alias("one")).select("s", "node")
         sizes = rows.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"),
                                       F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 31))).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 31))).alias("y"))
         # Regions with the same members (their number, ends and two sums of hashes agree) are taken once.
         once = self.keep(sizes.where("m > 1").groupBy("m", "lo", "hi", "x", "y").agg(F.min("s").alias("s")).select("s", "m"), "once")
-        late = self.keep(rows.join(once, "s"), "late")
-        listed = late.where(F.col("m") <= SMALL).groupBy("s").agg(F.collect_list("node").alias("members"))  # at most SMALL
+        regions = self.keep(rows.join(once, "s"), "regions")
+        listed = regions.where(F.col("m") <= SMALL).groupBy("s").agg(F.collect_list("node").alias("members"))  # at most SMALL
         pairs = met.where("a is not null").select("a", "b").union(listed.select("members").mapInArrow(_list_pairs, "a long, b long"))
-        large = met.where("s is not null").select("s", "node").union(late.where(F.col("m") > SMALL).select("s", "node"))
-        return pairs.distinct(), self.keep(large, "large")
+        return pairs.distinct(), self.keep(regions.where(F.col("m") > SMALL).select("s", "node"), "large")
 
     def know(self, nodes: DataFrame) -> None:
         """node, rep (one document of it), n and bits of the nodes that are in any pair or large region."""
