@@ -7,10 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, jaccard, media, packing, pii, quality, sharding, token_files, url_filter
+from . import bpe, embedding_dedup, jaccard, media, oracles, packing, pii, quality, sharding, token_files, url_filter
 from .shared import ship
 
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -40,6 +39,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op1_redirect_equivalence": url_filter.ORACLE_SQL,
-    }
+    return oracles.all_sql()
