@@ -312,6 +312,12 @@ def progressive(model: Model, allowed: list[tuple[int, Array]], samples: int, rn
     conditioning. scales: for a column, a number by code that each sample's estimate is multiplied by.
     """
     codes = np.zeros((samples, len(model.config.domains)), np.int64)
+    return walk(model, codes, allowed, rng, scales)
+
+
+def walk(model: Model, codes: Array, allowed: list[tuple[int, Array]], rng: np.random.Generator, scales: dict[int, Array] | None = None) -> Array:
+    """``progressive`` from samples whose known columns are set already; fills in the columns it conditions on."""
+    samples = len(codes)
     p = np.ones(samples)
     for column, mask in allowed:
         ok = mask(codes) if callable(mask) else np.broadcast_to(mask, (samples, len(mask)))

@@ -331,6 +331,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return model.estimate("SELECT COUNT(*) FROM customer c, orders o WHERE c.c_custkey = o.o_custkey AND o.o_orderstatus = 'O' AND c.c_mktsegment = 'BUILDING'")
 
 
+@query("cin_learned_estimate")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from .learned import Config, LearnedNeighbourhoods
+
+    db = database(spark, d)
+    s = Schema("chain")
+    for t, columns in (("customer", ["c_custkey", "c_mktsegment", "c_nationkey"]), ("orders", ["o_orderkey", "o_custkey", "o_orderstatus"]), ("lineitem", ["l_orderkey", "l_quantity"])):
+        s.add_table(t, columns)
+    for e in _CHAIN:
+        s.add_relationship(e.parent, e.pk, e.child, e.fk)
+    chain = Database(spark, s, {t: db.tables[t].select(*s.tables[t].columns) for t in s.tables})
+    return LearnedNeighbourhoods.fit(chain, n=10_000, config=Config([1], epochs=4)).estimate(ESTIMATED["three"])
+
+
 # ---- evaluation --------------------------------------------------------------------------------------------------------
 
 _ERRORS = "SELECT o_orderkey, o_custkey % 50 AS est, o_orderkey % 40 AS truth FROM orders"

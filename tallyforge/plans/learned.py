@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.predicates import Predicate, condition, normalize
-from ..models.density import Config, Model, progressive, train
+from ..models.density import Config, Model, progressive, train, walk
 from ..operators.graph import SubSchema
 from ..operators.sampling import sample_join
-from ..operators.statistics import away, dictionary, encode, name, reachable_size
+from ..operators.statistics import away, dictionary, encode, name, reachable_size, with_adjacent_fanouts
 from .database import Database
-from .estimators import boundary
+from .estimators import boundary, neighbourhood_plan
 
 MOST_CODES = 1_000_000  # codes of one predicate that the driver takes
 
@@ -54,7 +54,8 @@ def encoded(db: Database, sub: SubSchema, sample: DataFrame, skip: set[str], thr
     for c in columns:
         table, _, column = c.partition(".")
         base = c if c.startswith("__") else column
-        source = sample if c.startswith("__") else db.tables[table]
+        own = c.startswith("__") or "fanout__" in c
+        source, base = (sample, c) if own else (db.tables[table], base)
         found = dictionary(source, base)
         dictionaries[c] = found.persist()
         size = found.count() + codes.FIRST
@@ -73,6 +74,85 @@ def encoded(db: Database, sub: SubSchema, sample: DataFrame, skip: set[str], thr
     return Encoded(columns, dictionaries, slices, values, index, domains), df.select(*parts)
 
 
+def bit_masks(enc: Encoded, column: str, allowed: np.ndarray) -> list[tuple[int, object]]:
+    """Masks over a column's slices, from the high bits on; a lower slice's mask follows each sample's higher bits."""
+    slices, domains = enc.slices[column], enc.domains
+    if len(slices) == 1:
+        k = enc.index[column, 0]
+        mask = np.zeros(domains[k])
+        mask[allowed] = 1
+        return [(k, mask)]
+    out = []
+    for s in reversed(slices):
+        k = enc.index[column, s.index]
+        above = [t for t in slices if t.index > s.index]
+
+        def mask(seen: np.ndarray, s: codes.Slice = s, k: int = k, above: list[codes.Slice] = above) -> np.ndarray:
+            high = np.zeros(len(seen), np.int64)
+            for t in above:
+                high |= (seen[:, enc.index[column, t.index]] - 1) << t.offset
+            ok = np.zeros((len(seen), domains[k]))
+            part = ((allowed >> s.offset) & ((1 << s.width) - 1)) + 1
+            top = allowed >> (s.offset + s.width) << (s.offset + s.width)
+            for prefix in np.unique(high):
+                ok[np.ix_(high == prefix, np.unique(part[top == prefix]))] = 1
+            return ok
+
+        out.append((k, mask))
+    return out
+
+
+def matching_codes(found: DataFrame, predicates: list[Predicate]) -> np.ndarray:
+    """Codes of a dictionary that meet all predicates of its column. Ranges of values are ranges of codes."""
+    ok = F.lit(True)
+    nulls = all(p.op == "ALL_TRUE" or (p.op == "IS" and p.value is None) or (p.op == "IS NOT" and p.value is not None) for p in predicates)
+    for p in predicates:
+        ok = ok & F.coalesce(condition(p, F.col("value")), F.lit(False))
+    hits = found.where(ok)
+    if all(p.op in (">", "<", ">=", "<=", "=") for p in predicates):
+        lo, hi = hits.agg(F.min("code"), F.max("code")).first()
+        out = np.arange(lo, hi + 1) if lo is not None else np.zeros(0, np.int64)
+    else:
+        out = np.array(sorted(r.code for r in hits.select("code").limit(MOST_CODES + 1).collect()), np.int64)
+        if len(out) > MOST_CODES:
+            raise ValueError(f"the predicates match more than {MOST_CODES} values")
+    return np.r_[codes.NULL, out] if nulls else out
+
+
+def conditions(enc: Encoded, tables: tuple[str, ...], predicates: list[Predicate]) -> list[tuple[int, object]]:
+    """Steps that fix the tables' markers, then the predicates, those first that match the least share of their domain."""
+    steps: list[tuple[int, object]] = []
+    for t in tables:
+        true = [r.code for r in enc.dictionaries[f"__in__:{t}"].where("value").collect()]
+        steps += bit_masks(enc, f"__in__:{t}", np.array(true, np.int64))
+    by: dict[str, list[Predicate]] = {}
+    for p in predicates:
+        by.setdefault(p.name, []).append(p)
+    for c in by:
+        if c not in enc.columns:
+            raise ValueError(f"the model has no column {c}")
+    allowed = {c: matching_codes(enc.dictionaries[c], ps) for c, ps in by.items()}
+    for c in sorted(allowed, key=lambda c: len(allowed[c]) / max(1, enc.domains[enc.index[c, 0]])):
+        steps += bit_masks(enc, c, allowed[c])
+    return steps
+
+
+def anything(enc: Encoded, column: str, first: int = codes.NULL) -> list[tuple[int, object]]:
+    """Steps that draw a column freely, NULL included from ``first`` 1 on."""
+    size = enc.domains[enc.index[column, 0]] if len(enc.slices[column]) == 1 else enc.dictionaries[column].count() + codes.FIRST
+    return bit_masks(enc, column, np.arange(first, size))
+
+
+def code_of(enc: Encoded, column: str, drawn: np.ndarray) -> np.ndarray:
+    """Codes of a column that all samples have drawn."""
+    if len(enc.slices[column]) == 1:
+        return drawn[:, enc.index[column, 0]]
+    out = np.zeros(len(drawn), np.int64)
+    for s in enc.slices[column]:
+        out |= (drawn[:, enc.index[column, s.index]] - 1) << s.offset
+    return np.minimum(out, len(enc.values.get(column, out)) - 1) if column in enc.values else out
+
+
 def train_on_executor(rows: DataFrame, config: Config) -> Model:
     """One task trains the model of one sample, which is bounded; models of several samples train side by side."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,66 +187,10 @@ class LearnedUniversal:
         config = replace(config, domains=enc.domains) if config else Config(enc.domains, seed=seed)
         return cls(db, sub, int(size), enc, train_on_executor(rows, config), seed=seed)
 
-    def _codes(self, predicates: list[Predicate]) -> np.ndarray:
-        """Codes that meet all predicates of one column. Ranges of values are ranges of codes."""
-        c = predicates[0].name
-        found = self.enc.dictionaries[c]
-        ok = F.lit(True)
-        nulls = all(p.op == "ALL_TRUE" or (p.op == "IS" and p.value is None) or (p.op == "IS NOT" and p.value is not None) for p in predicates)
-        for p in predicates:
-            ok = ok & F.coalesce(condition(p, F.col("value")), F.lit(False))
-        hits = found.where(ok)
-        if all(p.op in (">", "<", ">=", "<=", "=") for p in predicates):
-            lo, hi = hits.agg(F.min("code"), F.max("code")).first()
-            out = np.arange(lo, hi + 1) if lo is not None else np.zeros(0, np.int64)
-        else:
-            out = np.array(sorted(r.code for r in hits.select("code").limit(MOST_CODES + 1).collect()), np.int64)
-            if len(out) > MOST_CODES:
-                raise ValueError(f"the predicates on {c} match more than {MOST_CODES} values")
-        return np.r_[codes.NULL, out] if nulls else out
-
-    def _masks(self, column: str, allowed: np.ndarray) -> list[tuple[int, object]]:
-        """Masks over a column's slices, from the high bits on; a lower slice's mask follows each sample's higher bits."""
-        slices = self.enc.slices[column]
-        domains = self.enc.domains
-        if len(slices) == 1:
-            k = self.enc.index[column, 0]
-            mask = np.zeros(domains[k])
-            mask[allowed] = 1
-            return [(k, mask)]
-        out = []
-        for s in reversed(slices):
-            k = self.enc.index[column, s.index]
-            above = [t for t in slices if t.index > s.index]
-
-            def mask(seen: np.ndarray, s: codes.Slice = s, k: int = k, above: list[codes.Slice] = above) -> np.ndarray:
-                high = np.zeros(len(seen), np.int64)
-                for t in above:
-                    high |= (seen[:, self.enc.index[column, t.index]] - 1) << t.offset
-                ok = np.zeros((len(seen), domains[k]))
-                part = ((allowed >> s.offset) & ((1 << s.width) - 1)) + 1
-                top = allowed >> (s.offset + s.width) << (s.offset + s.width)
-                for prefix in np.unique(high):
-                    ok[np.ix_(high == prefix, np.unique(part[top == prefix]))] = 1
-                return ok
-
-            out.append((k, mask))
-        return out
-
     def estimate(self, query: str) -> DataFrame:
         """One row: estimate."""
         b = self.db.bind(query)
-        by: dict[str, list[Predicate]] = {}
-        for p in normalize(b.predicates):
-            by.setdefault(p.name, []).append(p)
-        steps: list[tuple[int, object]] = []
-        for t in b.tables:
-            marker = f"__in__:{t}"
-            true = [r.code for r in self.enc.dictionaries[marker].where("value").collect()]
-            steps += self._masks(marker, np.array(true, np.int64))
-        allowed = {c: self._codes(ps) for c, ps in by.items()}
-        for c in sorted(allowed, key=lambda c: len(allowed[c]) / max(1, self.enc.domains[self.enc.index[c, 0]])):
-            steps += self._masks(c, allowed[c])
+        steps = conditions(self.enc, b.tables, normalize(b.predicates))
         scales = {}
         for e, t in boundary(self.sub.edges, b.tables):
             c = f"__away__:{t}:{e.condition}"
@@ -177,3 +201,85 @@ class LearnedUniversal:
             scales[k] = self.enc.values[c]
         p = progressive(self.model, steps, self.samples, np.random.default_rng(self.seed), scales)
         return self.db.spark.createDataFrame([(int(np.ceil(p.mean() * self.size)),)], "estimate long")
+
+
+@dataclass
+class LearnedNeighbourhoods:
+    """One model a neighbourhood, chained by common tables.
+
+    The answer starts from the size of the plan's first neighbourhood and the chance that its predicates hold. For each
+    further one, every sample draws the common table's columns that are still unknown and its fanout to the new center,
+    multiplies by the fanout, and hands the common columns' codes on as conditions.
+    """
+
+    db: Database
+    parts: dict[str, tuple[int, Encoded, Model]]
+    samples: int = 1000
+    seed: int = 1234
+
+    @classmethod
+    def fit(cls, db: Database, names: list[str] | None = None, n: int = 100_000, config: Config | None = None, threshold: int = 16, seed: int = 1234) -> LearnedNeighbourhoods:
+        """names: neighbourhoods to model; by default all. Keys, and columns with more values than half the sample, are left out."""
+        parts = {}
+        for sub in db.schema.neighbourhoods():
+            if names is not None and sub.name not in names:
+                continue
+            tables = {t: with_adjacent_fanouts(t, db.tables, [e for e in db.schema.fks if e.parent == t]) for t in sub.tables}
+            sample = sample_join(tables, sub.edges, sub.root, n, seed)
+            sample = sample.select(*[name(c) for c in sample.columns if ".__fanout__" not in c]).persist()
+            keys = {f"{t}.{c}" for e in db.schema.fks for t, c in ((e.parent, e.pk), (e.child, e.fk))}
+            base = [c for c in sample.columns if not c.startswith("__") and "fanout__" not in c and c not in keys and c != "sample"]
+            counts = sample.agg(*[F.approx_count_distinct(name(c)).alias(f"n{k}") for k, c in enumerate(base)]).first()
+            skip = keys | {c for k, c in enumerate(base) if counts[f"n{k}"] > n / 2}
+            enc, rows = encoded(db, sub, sample, skip, threshold)
+            for c in enc.columns:
+                if "__adj_fanout__" in c:
+                    enc.values[c] = np.array([1.0, 1.0, *(float(r.value) for r in enc.dictionaries[c].orderBy("code").collect())])
+            size = reachable_size({t: db.tables[t] for t in sub.tables}, sub.edges, sub.root).first()["size"]
+            made = replace(config, domains=enc.domains) if config else Config(enc.domains, seed=seed)
+            parts[sub.name] = int(size), enc, train_on_executor(rows, made)
+        return cls(db, parts, seed=seed)
+
+    def estimate(self, query: str) -> DataFrame:
+        """One row: estimate."""
+        b = self.db.bind(query)
+        plan = neighbourhood_plan(self.db, b)
+        rng = np.random.default_rng(self.seed)
+        predicates = normalize(b.predicates)
+        cards = np.ones(self.samples)
+        state: dict[str, np.ndarray] = {}
+        done: set[str] = set()
+        for k, link in enumerate(plan):
+            size, enc, model = self.parts[link.sub.name]
+            drawn = np.zeros((self.samples, len(enc.domains)), np.int64)
+            if k == 0:
+                cards *= size
+            else:
+                before = next(x for x in plan[:k] if link.common in x.tables)
+                _, old, old_model = self.parts[before.sub.name]
+                seen = state[before.sub.name]
+                own = [c for c in old.columns if c.startswith(f"{link.common}.") and "fanout__" not in c]
+                for c in own:
+                    if not seen[:, old.index[c, 0]].all():
+                        walk(old_model, seen, anything(old, c), rng)
+                edge = link.edge or next(e for e in link.sub.edges if link.common in (e.parent, e.child))
+                if edge.parent == link.common:
+                    fan = f"{link.common}.__adj_fanout__:{edge.pk}={edge.child}.{edge.fk}"
+                    walk(old_model, seen, anything(old, fan, codes.FIRST), rng)
+                    cards *= old.values[fan][code_of(old, fan, seen)]
+                for c in own:  # the same dictionary, so the same codes
+                    if c in enc.columns and len(enc.slices[c]) == len(old.slices[c]):
+                        for s in enc.slices[c]:
+                            drawn[:, enc.index[c, s.index]] = seen[:, old.index[c, s.index]]
+                marker = enc.dictionaries[f"__in__:{link.common}"].where("value").first()
+                drawn[:, enc.index[f"__in__:{link.common}", 0]] = marker.code
+            fresh = tuple(t for t in link.tables if t in b.tables and t not in done)
+            cards *= walk(model, drawn, conditions(enc, fresh, [p for p in predicates if p.table in fresh]), rng)
+            if k == 0 and not b.edges and b.tables[0] != link.sub.center:
+                e = next(e for e in link.sub.edges if e.parent == b.tables[0])
+                fan = f"{e.parent}.__adj_fanout__:{e.pk}={e.child}.{e.fk}"
+                walk(model, drawn, anything(enc, fan, codes.FIRST), rng)
+                cards /= enc.values[fan][code_of(enc, fan, drawn)]
+            done |= set(fresh)
+            state[link.sub.name] = drawn
+        return self.db.spark.createDataFrame([(int(np.ceil(cards.mean())),)], "estimate long")

@@ -9,7 +9,7 @@ from tallyforge.operators import sampling, statistics
 from tallyforge.operators.graph import FkDef, Schema, SchemaError
 from tallyforge.plans import estimators, evaluation
 from tallyforge.plans.database import Database
-from tallyforge.plans.learned import LearnedUniversal
+from tallyforge.plans.learned import LearnedNeighbourhoods, LearnedUniversal
 
 AB, BC = FkDef("a", "id", "b", "a_id"), FkDef("b", "id", "c", "b_id")
 
@@ -157,6 +157,22 @@ def test_learned(spark):
         assert max(truth / max(guess, 1), guess / truth) < 1.6, (sql, truth, guess)
 
 
+def test_learned_chain(spark):
+    s = Schema("chain").add_table("p", ["id", "k"], "id").add_table("q", ["id", "p_id", "w"], "id").add_table("r", ["q_id", "x"])
+    s.add_relationship("p", "id", "q", "p_id").add_relationship("q", "id", "r", "q_id")
+    p = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
+    q = spark.range(600).select("id", (F.col("id") % 90).alias("p_id"), (F.col("id") % 5).alias("w"))
+    r = spark.range(1500).select((F.col("id") % 400).alias("q_id"), (F.col("id") % 7).alias("x"))
+    db = Database(spark, s, {"p": p, "q": q, "r": r})
+    model = LearnedNeighbourhoods.fit(db, n=4000, config=Config([1], epochs=12, lr=5e-3))
+    for sql in (
+        "SELECT COUNT(*) FROM p, q, r WHERE p.id = q.p_id AND q.id = r.q_id AND p.k = 1 AND r.x < 3", "SELECT COUNT(*) FROM p, q WHERE p.id = q.p_id AND q.w = 2",
+        "SELECT COUNT(*) FROM r WHERE r.x = 1", "SELECT COUNT(*) FROM p WHERE p.k = 0",
+    ):
+        truth, guess = db.count(sql).first().cnt, model.estimate(sql).first().estimate
+        assert max(truth / max(guess, 1), guess / truth) < 1.7, (sql, truth, guess)
+
+
 def test_evaluation(db):
     sql = "SELECT COUNT(*) FROM a, b, c WHERE a.id = b.a_id AND b.id = c.b_id"
     r = evaluation.evaluate(db, "exact", db.count, [(3, sql)])
