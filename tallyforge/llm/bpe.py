@@ -251,6 +251,11 @@ class TextEncoder:
 _made: dict[tuple[str, bool], TextEncoder] = {}
 
 
+def forget() -> None:
+    """Free what a worker's encoders remember; for operators that run in the same workers afterwards."""
+    _made.clear()
+
+
 def encoder(spec: str, own: bool) -> TextEncoder:
     """One encoder a worker process, with what it remembers."""
     key = hashlib.sha256(spec.encode()).hexdigest(), own

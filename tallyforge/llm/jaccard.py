@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .shared import components, drop, parallelism, stage, table
 
 WORDS = 5
@@ -35,7 +36,7 @@ SMALL = 24  # documents of a region that lists its pairs
 BLOCK = 512  # documents of a block of a larger region
 HEAVY = 64  # documents with a shingle from which it comes late in the order
 MOST_HEAVY = 1 << 17  # shingles that are ordered by frequency at most (1 MB); it changes the work, not the result
-CHUNK = 4_000_000  # shingles held at once by a task
+CHUNK = 1_000_000  # shingles held at once by a task
 MOST_BITS = 1 << 18
 BROADCAST_IDS = 2_000_000
 
@@ -113,6 +114,7 @@ def _batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe.forget()
     held: list[np.ndarray] = []
     size = 0
 
@@ -199,6 +201,7 @@ def _pairs_of_runs(s: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.n
 
 def _second_pass(heavy: np.ndarray, rank: np.ndarray, buckets: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         seen: set[int] = set()
         light: list[np.ndarray] = []
         late: list[np.ndarray] = []
@@ -235,7 +238,7 @@ def _second_pass(heavy: np.ndarray, rank: np.ndarray, buckets: int):  # noqa: AN
                 late.append(then[: max(0, p - len(soon))])
                 names.append((node, len(found), len(light[-1]), len(late[-1])))
                 size += p
-                if size >= CHUNK // 2:
+                if size >= CHUNK:
                     yield from flush()
                     light, late, names, size = [], [], [], 0
         if names:

@@ -255,6 +255,7 @@ def mask_documents(documents: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for b in batches:
             texts = [t and mask(t, all_spans(t)[1]) for t in b.column(at).to_pylist()]
             columns = [pa.array(texts, b.schema.field(k).type) if k == at else c for k, c in enumerate(b.columns)]
