@@ -42,16 +42,18 @@ def _votes(text: str, words: list[str]) -> list[int]:
     tail = sum(w[-1] in _SUFFIX for w in words) / n
     plain = sum(map(str.isalpha, map(str.lower, (w.strip(".,;:?") for w in words)))) / n
 
-    def vote(x: float, junk: float, good: float) -> int:
-        return JUNK if x > junk else GOOD if x < good else NONE
+    def junk(found: bool) -> int:
+        return JUNK if found else NONE
 
     return [
-        vote(upper, 0.5, 0.0), vote(shout, 0.3, 0.0), vote(marks, 0.1, 0.02), vote(bars, 0.2, 0.0), vote(same, 0.4, 0.05) if n >= 5 else NONE,
-        vote(-distinct, -0.3, -0.4) if n >= 20 else NONE, vote(tail, 0.3, 0.0), vote(-plain, -0.6, -0.9),
+        junk(upper > 0.5), junk(shout > 0.3), junk(marks > 0.1), junk(bars > 0.2), junk(same > 0.4 and n >= 5),
+        NONE if n < 20 else JUNK if distinct < 0.3 else GOOD if distinct > 0.4 else NONE,
+        junk(tail > 0.3),
+        JUNK if plain < 0.6 or same > 0.5 and n >= 5 else GOOD if plain > 0.9 and same < 0.1 and (n < 20 or distinct > 0.3) else NONE,
     ]
 
 
-LABELLERS = ("capitals", "exclamations", "marks", "bars", "repeats", "variety", "suffixes", "plain words")
+LABELLERS = ("capitals", "exclamations", "marks", "bars", "repeats", "variety", "suffixes", "prose")
 
 
 def pattern_of(text: str | None) -> int:
@@ -66,36 +68,44 @@ def unpack(pattern: int) -> list[int]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents, and every labeller's chance to be right where it votes, by the true class."""
+    """Share of good documents, and what each labeller says of either class: chance[labeller, class, vote]."""
 
     good: float
-    right: np.ndarray  # [labeller, class]
+    chance: np.ndarray
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Chance of being good for each row of votes."""
         odds = np.full(len(patterns), np.log(self.good / (1 - self.good)))
         for j in range(patterns.shape[1]):
-            r = self.right[j]
-            odds += np.select([patterns[:, j] == GOOD, patterns[:, j] == JUNK], [np.log(r[GOOD] / (1 - r[JUNK])), np.log((1 - r[GOOD]) / r[JUNK])], 0.0)
+            odds += np.log(self.chance[j, GOOD] / self.chance[j, JUNK])[patterns[:, j]]
         return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
+    @property
+    def accuracy(self) -> np.ndarray:
+        """Chance that a labeller's vote is right, where it votes: [labeller, class]."""
+        return np.stack([self.chance[:, c, c] / (self.chance[:, c, GOOD] + self.chance[:, c, JUNK]) for c in (JUNK, GOOD)], 1)
+
 
 def fit_label_model(counts: dict[int, int], turns: int = 100) -> LabelModel:
     """Expectation-maximisation over pattern counts, with votes taken as independent given the class.
 
-    At most 3 ** labellers patterns, whatever the corpus. Starts from labellers that are mostly right, most of all in
-    a good document; one pseudo-count a cell keeps chances inside 0 and 1, and junk stays the lesser class at the start.
+    At most 3 ** labellers patterns, whatever the corpus. Silence is an outcome too, so that labellers that know one
+    kind of junk only still tell. Starts from labellers that seldom call a good document junk; one pseudo-count an
+    outcome keeps chances inside 0 and 1.
     """
     votes = np.array([unpack(p) for p in counts], np.int64).reshape(-1, len(LABELLERS))
     n = np.array(list(counts.values()), float)
-    model = LabelModel(0.8, np.tile([0.6, 0.95], (len(LABELLERS), 1)))
+    start = np.empty((2, 3))
+    start[JUNK, [JUNK, GOOD, NONE]], start[GOOD, [JUNK, GOOD, NONE]] = (0.35, 0.25, 0.4), (0.02, 0.5, 0.48)
+    model = LabelModel(0.8, np.tile(start, (len(LABELLERS), 1, 1)))
     for _ in range(turns if len(n) else 0):
         p = model.posterior(votes)
         good = float((n @ p + 1) / (n.sum() + 2))
-        right = np.empty_like(model.right)
+        chance = np.empty_like(model.chance)
         for c, w in ((GOOD, n * p), (JUNK, n * (1 - p))):
-            right[:, c] = ((votes == c).T @ w + 1) / ((votes != NONE).T @ w + 2)
-        model = LabelModel(min(max(good, 1e-6), 1 - 1e-6), np.clip(right, 1e-4, 1 - 1e-4))
+            for v in (JUNK, GOOD, NONE):
+                chance[:, c, v] = ((votes == v).T @ w + 1) / (w.sum() + 3)
+        model = LabelModel(min(max(good, 1e-6), 1 - 1e-6), chance)
     return model
 
 
@@ -173,6 +183,7 @@ def fit(documents: DataFrame) -> tuple[LabelModel, np.ndarray]:
     schema = pa.schema([("pattern", pa.int32()), ("features", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         features = Features()
         rows = (
             (pattern_of(t), features(t).tobytes() if d else None)
@@ -201,6 +212,7 @@ def score_documents(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         features = Features()
         for b in batches:
             scores = []
