@@ -521,8 +521,9 @@ def join_documents(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` with the row of smallest doc_id of each component (all rows with that doc_id), all columns as they are."""
-    kept = join_documents(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = stage(join_documents(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    small = kept.count() <= BROADCAST_IDS  # else the texts are shuffled
+    return documents.join(F.broadcast(kept) if small else kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def op6_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,8 +23,6 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
     if app in _shipped:
         return
-    import shutil
-
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     folder = tempfile.mkdtemp(prefix="tallyforge-code-")
     copy = shutil.copytree(package, os.path.join(folder, "tree", os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
@@ -30,12 +30,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _own_dir() -> str:
+    made = tempfile.mkdtemp(prefix="tallyforge-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only where it is unset (tests) a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_by_hand.get() if set_by_hand.isDefined() else tempfile.mkdtemp(prefix="tallyforge-")
+        found = set_by_hand.get() if set_by_hand.isDefined() else _own_dir()
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
