@@ -184,12 +184,12 @@ class TextEncoder:
     space beside spaces, or with characters outside the common ranges, are cut into pieces one by one.
     """
 
-    def __init__(self, spec: str, own: bool) -> None:
+    def __init__(self, spec: str, own: bool, remembered: int | None = None) -> None:
         self.spec, self.own, self.made = spec, own, None
         self.v = Vocabulary(spec)
         self.pattern = regex.compile(PIECE)
         self.spelled = {b: c for c, b in byte_alphabet().items()}
-        self.most = REMEMBERED // 2 if own else REMEMBERED  # the own encoder's tables take room too
+        self.most = remembered or (REMEMBERED // 2 if own else REMEMBERED)  # the own encoder's tables take room too
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.encoder = BacktrackingEncoder(self.v) if own else None
@@ -248,7 +248,7 @@ class TextEncoder:
         return (array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(spelled))]).tobytes() for p in pieces)
 
 
-_made: dict[tuple[str, bool], TextEncoder] = {}
+_made: dict[tuple[str, bool, int | None], TextEncoder] = {}
 
 
 def forget() -> None:
@@ -256,11 +256,11 @@ def forget() -> None:
     _made.clear()
 
 
-def encoder(spec: str, own: bool) -> TextEncoder:
-    """One encoder a worker process, with what it remembers."""
-    key = hashlib.sha256(spec.encode()).hexdigest(), own
+def encoder(spec: str, own: bool, remembered: int | None = None) -> TextEncoder:
+    """One encoder of a kind a worker process, with what it remembers."""
+    key = hashlib.sha256(spec.encode()).hexdigest(), own, remembered
     if key not in _made:
-        _made[key] = TextEncoder(spec, own)
+        _made[key] = TextEncoder(spec, own, remembered)
     return _made[key]
 
 

@@ -23,6 +23,7 @@ from .shared import parallelism, stage, table
 
 CAPACITY = 1024
 END_ID = 2
+REMEMBERED = 250_000  # words and pieces a worker's encoder remembers; other operators of a pipeline need room as well
 
 
 @dataclass
@@ -119,7 +120,7 @@ def token_pieces(documents: DataFrame, tokenizer: str | None = None, end_id: int
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.encoder(spec.value, False)
+        encode = bpe.encoder(spec.value, False, REMEMBERED)
 
         def rows() -> Iterator[tuple]:
             for b in batches:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,8 +170,11 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
     drop(frames)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (tokens of all documents before it), n_tokens and ids (binary u32) of a data set at ``path``."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (tokens of all documents before it), n_tokens, ids_crc32 and ids (binary u32) of a data set at ``path``.
+
+    with_ids: without, ids are read and checked but stay null, as few queries need them.
+    """
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
     segments = spark.read.parquet(f"{path}/segments")
     before, total = [], 0
@@ -178,7 +182,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         before.append((r.part, total))
         total += r.n
     starts = F.broadcast(spark.createDataFrame(before, "part int, before long"))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -186,14 +190,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 for base, image in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     s = Segment(image.as_py(), dictionary)
                     for k in range(s.n):
-                        yield s.doc_id(k), base + s.base + int(s.tokens[k]), int(s.tokens[k + 1] - s.tokens[k]), s.ids(k).tobytes()
+                        ids = s.ids(k).tobytes()
+                        if len(ids) != 4 * int(s.tokens[k + 1] - s.tokens[k]):
+                            raise ValueError("a document's ids don't agree with the index")
+                        yield s.doc_id(k), base + s.base + int(s.tokens[k]), len(ids) // 4, zlib.crc32(ids), ids if with_ids else None
 
-        yield from bpe.in_batches(rows(), schema, lambda r: 32 + len(r[3]))
+        yield from bpe.in_batches(rows(), schema, lambda r: 40 + len(r[4] or b""))
 
-    return segments.join(starts, "part").select("before", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return segments.join(starts, "part").select("before", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op2_zstd_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path)
-    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
