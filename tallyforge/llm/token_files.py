@@ -35,6 +35,7 @@ SEGMENT_BYTES = 512 << 10
 SAMPLED_DOCUMENTS, SAMPLE_BYTES = 1500, 8 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+REMEMBERED = 900_000  # words and pieces a worker's encoder remembers; nothing else runs beside it
 
 
 def serialize(ids: bytes, unit: int) -> bytes:
@@ -133,7 +134,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("frame", pa.binary())])
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, squeeze = bpe.encoder(spec.value, False), compressor(dictionary)
+        encode, squeeze = bpe.encoder(spec.value, False, REMEMBERED), compressor(dictionary)
 
         def row(i: int | None, h: int, text: str | None) -> tuple:
             ids = encode(text) + end
