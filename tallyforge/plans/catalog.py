@@ -228,7 +228,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PRICE_CODES = "SELECT l_extendedprice AS value, DENSE_RANK() OVER (ORDER BY l_extendedprice) + 1 AS code FROM (SELECT DISTINCT l_extendedprice FROM lineitem)"
-_SLICES = codes.factorize(1 << 20, 8)  # three slices, wide enough for every scale of the test tables
+_SLICES = codes.factorize(1 << 20, 8)  # the slices that the SQL of factorize_bits names: the low 20 bits of a code
 
 
 @query("factorize_bits", f"SELECT value, {', '.join(f'((code >> {s.offset}) & {(1 << s.width) - 1}) + 1 AS s{s.index}' for s in _SLICES)} FROM ({_PRICE_CODES})")
@@ -240,8 +240,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("factorize_reconstruct", f"SELECT value, CAST(code AS BIGINT) AS code FROM ({_PRICE_CODES})")
 def _(spark: SparkSession, d: str) -> DataFrame:
     df = statistics.dictionary(database(spark, d).tables["lineitem"], "l_extendedprice")
-    cut = df.select("value", *[codes.slice_code(F.col("code"), s).alias(f"s{s.index}") for s in _SLICES])
-    return cut.select("value", codes.join_slices([F.col(f"s{s.index}") for s in _SLICES], _SLICES).alias("code"))
+    slices = codes.factorize(df.count() + codes.FIRST, 8)
+    cut = df.select("value", *[codes.slice_code(F.col("code"), s).alias(f"s{s.index}") for s in slices])
+    return cut.select("value", codes.join_slices([F.col(f"s{s.index}") for s in slices], slices).alias("code"))
 
 
 # ---- predicates on dictionaries ----------------------------------------------------------------------------------------

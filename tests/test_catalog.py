@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.plans import catalog
 
@@ -36,6 +37,21 @@ def test_runs(spark, key):
     assert catalog.queries()[key](spark, DIR).limit(1).count() == 1
 
 
+def test_codes_of_more_than_20_bits(spark, tmp_path):
+    """factorize_reconstruct gives back every code of a dictionary larger than the test tables have."""
+    n = (1 << 20) + 50_000
+    for t in os.listdir(DIR):
+        if t != "lineitem.parquet":
+            os.symlink(f"{DIR}/{t}", tmp_path / t)
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").schema
+    price = F.col("id").cast("double").cast(lines["l_extendedprice"].dataType)
+    columns = [price.alias(f.name) if f.name == "l_extendedprice" else F.lit(None).cast(f.dataType).alias(f.name) for f in lines]
+    spark.range(n).select(*columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalog.queries()["factorize_reconstruct"](spark, str(tmp_path))
+    got = found.agg(F.count_distinct("code").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.sum((F.col("code") != F.col("value") + 2).cast("int")).alias("wrong")).first()
+    assert (got.n, got.lo, got.hi, got.wrong) == (n, 2, n + 1, 0)
+
+
 def test_entry(spark):
     import __spark_entry__
 
