@@ -18,7 +18,9 @@ document costs after the first pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ HEAVY = 64  # documents with a shingle from which it comes late in the order
 MOST_HEAVY = 1 << 17  # shingles that are ordered by frequency at most (1 MB); it changes the work, not the result
 CHUNK = 1_000_000  # shingles held at once by a task
 MOST_BITS = 1 << 18
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 2_000_000  # ids that are broadcast at once
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -338,6 +340,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], schema=schema)
 
 
+def chosen(rows: DataFrame, ids: DataFrame, keys: list[str], what: str, then: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """Staged parts of ``then`` of the ``rows`` whose keys are in ``ids`` (distinct; nulls are equal), with the other columns of ``ids``.
+
+    One plan at every size: ids are broadcast in ranges of their hash, BROADCAST_IDS in each, and each range reads the
+    rows once, so texts go through no shuffle and the driver holds one range.
+    """
+    ranges = max(1, math.ceil(ids.count() / BROADCAST_IDS))
+    parts = []
+    for k in range(ranges):
+        own = F.pmod(F.xxhash64(*keys), F.lit(ranges)) == k
+        few = ids.where(own).withColumnsRenamed({c: f"_of{c}" for c in keys})
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys])
+        parts.append(stage(then(rows.where(own).join(F.broadcast(few), same).drop(*[f"_of{c}" for c in keys])), what))
+    return parts
+
+
 class Join:
     """State of one join: nodes with their bitmaps, links found, classes so far."""
 
@@ -377,12 +395,12 @@ class Join:
         self.info = self.keep(known.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]), "info")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """Shingle sets of nodes, made anew from one document each; a doc_id that is null or repeated brings others too, which do no harm."""
-        reps = self.info.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("rep")).distinct()
+        """Shingle sets of nodes, made anew from one document each; a doc_id that is null or repeated brings others too, perhaps twice, which do no harm."""
+        reps = self.info.join(nodes, "node", "left_semi").select("doc_id").distinct()
         reps = self.keep(reps, "reps")
-        small = reps.count() <= BROADCAST_IDS
-        chosen = self.docs.join(F.broadcast(reps) if small else reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        return self.keep(chosen.select("text").mapInArrow(_sets, "node long, found binary").dropDuplicates(["node"]), "sets")
+        parts = chosen(self.docs, reps, ["doc_id"], "sets", lambda found: found.select("text").mapInArrow(_sets, "node long, found binary").dropDuplicates(["node"]))
+        self.used += parts
+        return reduce(DataFrame.union, parts)
 
     def test(self, pairs: DataFrame) -> None:
         """Compare pairs (a, b), a < b, distinct; what passes the bounds is kept with its sizes."""
@@ -394,7 +412,8 @@ class Join:
         sets = self.sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
         x = sets.select(F.col("node").alias("a"), F.col("found").alias("fa"))
         y = sets.select(F.col("node").alias("b"), F.col("found").alias("fb"))
-        self.tested.append(self.keep(near.join(x, "a").join(y, "b").select("a", "b", "fa", "fb").mapInArrow(_compare, "a long, b long, inter long, uni long"), "tested"))
+        compared = near.join(x, "a").join(y, "b").select("a", "b", "fa", "fb").mapInArrow(_compare, "a long, b long, inter long, uni long")
+        self.tested.append(self.keep(compared.distinct(), "tested"))
 
     def all_tested(self) -> DataFrame:
         out = self.tested[0]
@@ -521,9 +540,11 @@ def join_documents(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` with the row of smallest doc_id of each component (all rows with that doc_id), all columns as they are."""
-    kept = stage(join_documents(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    small = kept.count() <= BROADCAST_IDS  # else the texts are shuffled
-    return documents.join(F.broadcast(kept) if small else kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = stage(join_documents(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    rows = documents.withColumn("_id", F.col("doc_id").cast("long"))
+    parts = chosen(rows, kept, ["_id"], "one", lambda found: found.select(*documents.columns))
+    drop(kept)
+    return reduce(DataFrame.union, parts)
 
 
 def op6_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

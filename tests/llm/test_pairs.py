@@ -97,6 +97,33 @@ def test_one_of_each(make, odd):
     assert 5 in ids and 30 not in ids and 6 not in ids and {2, 3, 4} <= set(ids)
 
 
+def test_many_ids(spark, make, odd, monkeypatch):
+    """More ids than are broadcast at once: the same rows, and no text goes through a join's shuffle."""
+    r = random.Random(5)
+    texts = family(r, [f"b{k}" for k in range(80)], 12, 0.03) + family(r, [f"c{k}" for k in range(90)], 12, 0.2)
+    docs = make([*odd, *((100 + k, t) for k, t in enumerate(texts))])
+    want = sorted(map(repr, jaccard.one_of_each(docs).collect())), sorted(map(repr, jaccard.join_documents(docs).collect()))
+    plans = []
+
+    def watched(df, what, *more):
+        if "text" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, what, *more)
+
+    stage = jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", watched)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = jaccard.one_of_each(docs)
+        plans.append(one._jdf.queryExecution().executedPlan().toString())
+        assert (sorted(map(repr, one.collect())), sorted(map(repr, jaccard.join_documents(docs).collect()))) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [p for p in plans if "SortMergeJoin" in p or "ShuffledHashJoin" in p]
+
+
 def test_bounds():
     rng = np.random.default_rng(0)
     for _ in range(200):
