@@ -107,7 +107,7 @@ def ordered(found: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.
 
 # ---- first pass: nodes and frequent shingles -------------------------------------------------------------------------
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("s", pa.int64()), ("c", pa.int64())])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("s", pa.int64()), ("c", pa.int64())])
 
 
 def _batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
@@ -126,10 +126,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batch(_FIRST, s=values[often].view(np.int64), c=counts[often])
 
     for b in batches:
-        ids, nodes, sizes, bits = [], [], [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        ids, texts, nodes, sizes, bits = [], [], [], [], []
+        for i, text, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
             found = shingles(text)
             ids.append(i)
+            texts.append(h)
             nodes.append(node_of(found) if len(found) else None)
             sizes.append(len(found))
             bits.append(bitmap(found) if len(found) else None)
@@ -139,10 +140,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield counted()
                 held, size = [], 0
             if len(ids) >= 2000:
-                yield _batch(_FIRST, doc_id=ids, node=nodes, n=sizes, bits=bits)
-                ids, nodes, sizes, bits = [], [], [], []
+                yield _batch(_FIRST, doc_id=ids, h=texts, node=nodes, n=sizes, bits=bits)
+                ids, texts, nodes, sizes, bits = [], [], [], [], []
         if ids:
-            yield _batch(_FIRST, doc_id=ids, node=nodes, n=sizes, bits=bits)
+            yield _batch(_FIRST, doc_id=ids, h=texts, node=nodes, n=sizes, bits=bits)
     if held:
         yield counted()
 
@@ -362,8 +363,9 @@ class Join:
     def __init__(self, documents: DataFrame) -> None:
         self.spark = documents.sparkSession
         self.docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.first = stage(self.docs.mapInArrow(_first_pass, "doc_id long, node long, n long, bits binary, s long, c long"), "nodes")
-        self.members = self.first.where("n is not null").select("doc_id", "node", "n")
+        told = self.docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+        self.first = stage(told.mapInArrow(_first_pass, "doc_id long, h long, node long, n long, bits binary, s long, c long"), "nodes")
+        self.members = self.first.where("n is not null").select("doc_id", "h", "node", "n")
         self.tested: list[DataFrame] = []
         self.used = [self.first]
 
@@ -539,12 +541,25 @@ def join_documents(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """``documents`` with the row of smallest doc_id of each component (all rows with that doc_id), all columns as they are."""
-    kept = stage(join_documents(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    rows = documents.withColumn("_id", F.col("doc_id").cast("long"))
-    parts = chosen(rows, kept, ["_id"], "one", lambda found: found.select(*documents.columns))
-    drop(kept)
-    return reduce(DataFrame.union, parts)
+    """``documents`` with one row of each component, all columns as they are.
+
+    It is the row of smallest doc_id (nulls last), then of the least hash of its text; of rows with one doc_id and one
+    text, the least by all columns. Rows without shingles link with nothing, so each stays.
+    """
+    join = Join(documents)
+    classes = join.run()
+    rows = join.members.groupBy("node", "doc_id", "h").agg(F.count(F.lit(1)).alias("m"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.col("m") > 1).alias("_twice"))
+    first = rows.where("node is not null").groupBy("node").agg(F.min(place).alias("first"))
+    first = first.join(classes, "node", "left").groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("first").alias("first"))
+    alone = rows.where("node is null").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.lit(False).alias("_twice"))
+    kept = join.keep(first.select("first._id", "first._h", "first._twice").union(alone), "kept")
+    told = documents.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
+    found = reduce(DataFrame.union, chosen(told, kept, ["_id", "_h"], "one", lambda x: x))
+    drop(*join.used, classes)
+    # Only repeated rows are grouped.
+    again = found.where("_twice").groupBy("_id", "_h").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in documents.columns])).alias("row")).select("row.*")
+    return found.where(~F.col("_twice")).select(*documents.columns).union(again)
 
 
 def op6_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,16 @@ def test_one_of_each(make, odd):
     assert 5 in ids and 30 not in ids and 6 not in ids and {2, 3, 4} <= set(ids)
 
 
+def test_one_row_of_each(make):
+    """Repeated rows, texts under one doc_id and null doc_ids leave one row of each component; blank rows all stay."""
+    words = [f"b{k}" for k in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(7, "a b c"), (7, "a b c"), (7, "A b c"), (9, "a b c"), (7, "d e f"), (None, "unique one"), (None, "unique one"), (None, "lone text"), (1, " ".join(words)), (None, near), (None, near), (3, ""), (3, ""), (None, None)]
+    got = [(x.doc_id, (x.text or "").lower()) for x in jaccard.one_of_each(make(rows)).collect()]
+    want = [(7, "a b c"), (7, "d e f"), (None, "unique one"), (None, "lone text"), (1, " ".join(words)), (3, ""), (3, ""), (None, "")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_many_ids(spark, make, odd, monkeypatch):
     """More ids than are broadcast at once: the same rows, and no text goes through a join's shuffle."""
     r = random.Random(5)
