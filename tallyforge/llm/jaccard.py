@@ -1,16 +1,20 @@
 """Exact similarity join of documents on word shingles under the Jaccard metric.
 
-Method. Documents are points of a metric space, d = 1 - Jaccard. The first pivots are the one-shingle sets: a document's
-distance to the pivot {s} is 1 - 1/size where it holds s, else 1, so its nearest pivots are its own shingles, and one
-global order (rare before common) breaks the ties. Two documents within distance 0.2 meet in the region of one of their
-first size - ceil(0.8 size) + 1 shingles; a document is replicated to just those regions. Whole documents as only
-pivots would not do: most lie at distance 1 from one another, and every triangle-inequality window would hold everything.
-
-Regions of up to SMALL documents list their pairs. Larger ones, which the order leaves only to true families, are
-divided by a document as pivot: those within its reach are one class at once, |d(x,p) - d(y,p)| > 0.2 rules pairs out,
-and what is left outside the main class is joined with the region in blocks, first with its nearest candidates, then
-with all. Pairs pass a size test and a bound from parity bitmaps (their distance can't exceed the symmetric
-difference) before the shingle sets themselves are compared.
+Method: regions around pivots, divided recursively. The first pivots are one-shingle sets: a document's distance to the
+pivot {s} is 1 - 1/size where it holds s, else 1, so its nearest pivots are its own shingles, and one global order (rare
+before common) breaks the ties. Two documents within distance 0.2 meet in the region of one of their first
+size - ceil(0.8 size) + 1 shingles, and a document is replicated to just those. Whole documents as only pivots would not
+do: most lie at distance 1 from one another, and every triangle-inequality window would hold everything.
+
+Regions whose documents are of one class but for SMALL are listed. All others are divided, level by level, by documents:
+up to PIVOTS of a region, of different classes where there are such, are its pivots; every document measures its distance
+to each, and goes home to the Voronoi cell of the nearest one within the core radius. The distance is the Hamming distance
+of wide parity bitmaps, a pseudo-metric that never exceeds the symmetric difference of the sets; a document of n shingles
+links with none that is farther than its reach r = n / 4 (|x ^ y| <= (|x| + |y|) / 9 and |y| <= 5 |x| / 4). So, by the
+triangle inequality, a document is replicated as a guest to the cells of all pivots that are nearer than the core radius
+plus r and nearer than its nearest pivot plus 2 r, and no others; what lies outside every core is one more region, with
+pivots of its own at the next level. Linked documents meet in a cell at every level. A cell that did not shrink is compared
+in blocks. Pairs that pass the bounds are compared by the shingle sets themselves.
 
 Shingles and sets are known by 64-bit hashes. Exact copies are one node, so a group of copies of any size costs what one
 document costs after the first pass.
@@ -19,7 +23,7 @@ document costs after the first pass.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,18 +33,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import components, drop, parallelism, stage, table
+from .shared import components, drop, fresh, parallelism, sifted, spread_join, stage, table
 
 WORDS = 5
 #: Similarity 80 / 100.
 PART, WHOLE = 80, 100
-SMALL = 24  # documents of a region that lists its pairs
+SMALL = 24  # documents of a region, or outside its largest class, that are compared with the others one by one
 BLOCK = 512  # documents of a block of a larger region
+PIVOTS = 16  # of a region that is divided
+CORE = 0.75  # radius of the cells, in shingles of the pivots
+SHRUNK = 0.7  # a cell with more of the documents of the region it comes from is compared in blocks
+COPIES = 2.5  # a region is not divided into cells with so many times its documents
+WIDE = 4  # a wide bitmap has so many bits for each bit of a narrow one
+BUCKET_ROWS = 2_000_000  # prefix shingles a bucket
 HEAVY = 64  # documents with a shingle from which it comes late in the order
 MOST_HEAVY = 1 << 17  # shingles that are ordered by frequency at most (1 MB); it changes the work, not the result
 CHUNK = 1_000_000  # shingles held at once by a task
 MOST_BITS = 1 << 18
-BROADCAST_IDS = 2_000_000  # ids that are broadcast at once
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -70,9 +79,9 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def bitmap(found: np.ndarray) -> bytes:
-    """Parity of the number of shingles that fall on each of 1 to 2 bits a shingle (a power of two, 64 at least)."""
-    bits = min(MOST_BITS, 64 << max(0, (len(found) - 1).bit_length() - 6))
+def bitmap(found: np.ndarray, wide: int = 1) -> bytes:
+    """Parity of the number of shingles that fall on each of 1 to 2 bits a shingle (a power of two, 64 at least), or ``wide`` times as many."""
+    bits = wide * min(MOST_BITS, 64 << max(0, (len(found) - 1).bit_length() - 6))
     counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -86,6 +95,14 @@ def fold(a: bytes, size: int) -> np.ndarray:
     return out
 
 
+def folded(a: np.ndarray, size: int) -> np.ndarray:
+    """As ``fold``, for a matrix with a bitmap a row."""
+    while a.shape[1] * 8 > size:
+        half = a.shape[1] // 2
+        a = a[:, :half] ^ a[:, half:]
+    return a
+
+
 def most_apart(total: int | np.ndarray) -> int | np.ndarray:
     """Largest symmetric difference of two sets with sizes adding up to ``total`` that still link: 100 i >= 80 u."""
     return total * (WHOLE - PART) // (WHOLE + PART)
@@ -329,32 +346,115 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("found", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("found", pa.binary()), ("wide", pa.binary())])
+    bpe.forget()
+    seen: set[int] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
-            nodes, found = [], []
+            rows = []
             for text in batch.column(0)[lo : lo + 500].to_pylist():
                 x = shingles(text)
-                if len(x):
-                    nodes.append(node_of(x))
-                    found.append(x.tobytes())
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], schema=schema)
-
-
-def chosen(rows: DataFrame, ids: DataFrame, keys: list[str], what: str, then: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
-    """Staged parts of ``then`` of the ``rows`` whose keys are in ``ids`` (distinct; nulls are equal), with the other columns of ``ids``.
-
-    One plan at every size: ids are broadcast in ranges of their hash, BROADCAST_IDS in each, and each range reads the
-    rows once, so texts go through no shuffle and the driver holds one range.
-    """
-    ranges = max(1, math.ceil(ids.count() / BROADCAST_IDS))
-    parts = []
-    for k in range(ranges):
-        own = F.pmod(F.xxhash64(*keys), F.lit(ranges)) == k
-        few = ids.where(own).withColumnsRenamed({c: f"_of{c}" for c in keys})
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys])
-        parts.append(stage(then(rows.where(own).join(F.broadcast(few), same).drop(*[f"_of{c}" for c in keys])), what))
-    return parts
+                if len(x) and (node := node_of(x)) not in seen:
+                    seen.add(node)
+                    rows.append((node, len(x), x.tobytes(), bitmap(x, WIDE)))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+
+# ---- cells -----------------------------------------------------------------------------------------------------------
+
+
+def _bitmaps(group: pa.Table) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The width of each row's bitmap in bytes, and by width the rows and a matrix of theirs."""
+    wide = group.column("wide").to_pylist()
+    width = np.array([len(x) for x in wide])
+    by_width = {}
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        by_width[int(w)] = rows, np.frombuffer(b"".join(wide[k] for k in rows), "<u8").reshape(len(rows), -1)
+    return width, by_width
+
+
+def _flags(group: pa.Table, name: str) -> np.ndarray:
+    return group.column(name).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def cells_of(apart: np.ndarray, n: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where documents go whose distances to the pivots are ``apart`` (a row a document) and whose sizes are ``n``: the home
+    (number of a pivot, -1 outside all cores), and a matrix that marks the cells where they are guests."""
+    reach = n[:, None] / 4
+    least = apart.min(1)
+    home = np.where(least <= radius, apart.argmin(1), -1)
+    guest = (apart <= radius + reach) & (apart <= least[:, None] + 2 * reach)
+    inside = np.flatnonzero(home >= 0)
+    guest[inside, home[inside]] = False
+    # Outside all cores there is no nearest one to compare with.
+    guest[home < 0] = (apart <= radius + reach)[home < 0]
+    return home, guest
+
+
+_DIVIDED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64()), ("node", pa.int64()), ("home", pa.bool_()), ("was", pa.int64()), ("parent", pa.int64())])
+
+
+def _divide(group: pa.Table) -> pa.Table:
+    """A block of a region with all pivots of it: the cells its documents go to, and pairs with the nearest pivot within reach."""
+    node, kind, n = (group.column(c).to_numpy() for c in ("node", "class", "n"))
+    pivot = _flags(group, "pivot")
+    if pivot.all():
+        return _DIVIDED.empty_table()
+    width, by_width = _bitmaps(group)
+    centres = np.flatnonzero(pivot)
+    centres = centres[np.argsort(node[centres])]
+    apart = np.zeros((len(node), len(centres)), np.int64)
+    for w, (rows, matrix) in by_width.items():
+        for k, c in enumerate(centres):
+            size = min(w, int(width[c]))
+            own_rows, own = by_width[int(width[c])]
+            at = own[np.searchsorted(own_rows, c)][None]
+            apart[rows, k] = np.bitwise_count(folded(matrix, size) ^ folded(at, size)).sum(1)
+    members = np.flatnonzero(~pivot)
+    apart = apart[members]
+    node, kind, n, names = node[members], kind[members], n[members], node[centres]
+    kinds, sizes = group.column("class").to_numpy()[centres], group.column("n").to_numpy()[centres]
+    home, guest = cells_of(apart, n, CORE * float(np.median(sizes)))
+    cell, was = group.column("cell")[0].as_py(), group.column("m")[0].as_py()
+    child = np.array([np.uint64(xxhash.xxh3_64_intdigest(np.array([cell, p, k], np.int64).tobytes())).astype(np.int64) for k, p in enumerate([*names, 0])], np.int64)
+    i, k = np.nonzero(guest)
+    to = np.concatenate([child[home], child[k]])  # -1 is the last: outside all cores
+    who = np.concatenate([node, node[i]])
+    at_home = np.arange(len(to)) < len(node)
+    near = apart.argmin(1)
+    fits = (kind != kinds[near]) & (apart.min(1) <= most_apart(n + sizes[near])) & (WHOLE * np.minimum(n, sizes[near]) >= PART * np.maximum(n, sizes[near]))
+    x, y = node[fits], names[near[fits]]
+    def part(size: int, **columns: np.ndarray) -> pa.Table:
+        return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _DIVIDED], schema=_DIVIDED)
+
+    return pa.concat_tables([
+        part(len(to), cell=to, node=who, home=at_home, was=np.full(len(to), was), parent=np.full(len(to), cell)),
+        part(len(x), a=np.minimum(x, y), b=np.maximum(x, y)),
+    ])
+
+
+def _list(group: pa.Table) -> pa.Table:
+    """Pairs of a block of documents outside a cell's main class with a block of all, of different classes and one at home, that the bounds leave."""
+    node, kind, n = (group.column(c).to_numpy() for c in ("node", "class", "n"))
+    home, outer = _flags(group, "home"), _flags(group, "outer")
+    width, by_width = _bitmaps(group)
+    inner = {w: (rows[~outer[rows]], matrix[~outer[rows]]) for w, (rows, matrix) in by_width.items()}
+    left, right = [], []
+    for k in np.flatnonzero(outer):
+        own_rows, own = by_width[int(width[k])]
+        own = own[np.searchsorted(own_rows, k)][None]
+        for w, (rows, matrix) in inner.items():
+            fits = (kind[rows] != kind[k]) & (home[rows] | home[k]) & (WHOLE * np.minimum(n[rows], n[k]) >= PART * np.maximum(n[rows], n[k]))
+            if not fits.any():
+                continue
+            size = min(w, int(width[k]))
+            apart = np.bitwise_count(folded(matrix[fits], size) ^ folded(own, size)).sum(1)
+            near = rows[fits][apart <= most_apart(n[rows[fits]] + n[k])]
+            left.append(np.minimum(node[near], node[k]))
+            right.append(np.maximum(node[near], node[k]))
+    a, b = (np.concatenate(x) if x else node[:0] for x in (left, right))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 class Join:
@@ -368,15 +468,22 @@ class Join:
         self.members = self.first.where("n is not null").select("doc_id", "h", "node", "n")
         self.tested: list[DataFrame] = []
         self.used = [self.first]
+        # Copies meet in partial aggregates, so one text of any share of the rows is one row of a task here.
+        place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+        self.nodes = self.keep(
+            self.first.where("node is not null").groupBy("node").agg(F.min(place).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "by-node"
+        )
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
         self.used.append(stage(df, what))
         return self.used[-1]
 
     def regions(self) -> tuple[DataFrame, DataFrame]:
-        """(a, b) of all small regions, and (s, node) of the larger ones."""
+        """(a, b) of all small regions, and (cell, node, home, was) of the larger ones."""
         heavy, rank = frequent(self.first)
-        buckets = parallelism(self.spark)
+        prefixes = F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1
+        rows = self.nodes.agg(F.coalesce(F.sum(prefixes), F.lit(0)).cast("long")).first()[0]
+        buckets = max(parallelism(self.spark), math.ceil(rows / BUCKET_ROWS))
         blocks = self.docs.select("text").mapInArrow(_second_pass(heavy, rank, buckets), "bucket int, block binary")
         met = self.keep(
             blocks.repartitionById(buckets, "bucket").select("block").mapInArrow(_meet, "a long, b long, s long, node long, late boolean"), "met"
@@ -389,87 +496,69 @@ class Join:
         regions = self.keep(rows.join(once, "s"), "regions")
         listed = regions.where(F.col("m") <= SMALL).groupBy("s").agg(F.collect_list("node").alias("members"))  # at most SMALL
         pairs = met.where("a is not null").select("a", "b").union(listed.select("members").mapInArrow(_list_pairs, "a long, b long"))
-        return pairs.distinct(), self.keep(regions.where(F.col("m") > SMALL).select("s", "node"), "large")
-
-    def know(self, nodes: DataFrame) -> None:
-        """node, rep (one document of it), n and bits of the nodes that are in any pair or large region."""
-        known = self.first.where("n is not null and node is not null").select("node", "doc_id", "n", "bits")
-        self.info = self.keep(known.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]), "info")
-
-    def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """Shingle sets of nodes, made anew from one document each; a doc_id that is null or repeated brings others too, perhaps twice, which do no harm."""
-        reps = self.info.join(nodes, "node", "left_semi").select("doc_id").distinct()
-        reps = self.keep(reps, "reps")
-        parts = chosen(self.docs, reps, ["doc_id"], "sets", lambda found: found.select("text").mapInArrow(_sets, "node long, found binary").dropDuplicates(["node"]))
-        self.used += parts
-        return reduce(DataFrame.union, parts)
-
-    def test(self, pairs: DataFrame) -> None:
-        """Compare pairs (a, b), a < b, distinct; what passes the bounds is kept with its sizes."""
+        larger = regions.where(F.col("m") > SMALL).select(F.col("s").alias("cell"), "node", F.lit(True).alias("home"), F.lit(1 << 60).alias("was"))
+        return pairs.distinct(), self.keep(larger, "cells")
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes and narrow bitmaps leave."""
         def side(c: str) -> DataFrame:
-            return self.info.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+            return self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
 
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
-        near = self.keep(both.mapInArrow(_near, "a long, b long"), "near")
-        sets = self.sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
-        x = sets.select(F.col("node").alias("a"), F.col("found").alias("fa"))
-        y = sets.select(F.col("node").alias("b"), F.col("found").alias("fb"))
-        compared = near.join(x, "a").join(y, "b").select("a", "b", "fa", "fb").mapInArrow(_compare, "a long, b long, inter long, uni long")
-        self.tested.append(self.keep(compared.distinct(), "tested"))
-
-    def all_tested(self) -> DataFrame:
-        out = self.tested[0]
-        for more in self.tested[1:]:
-            out = out.union(more)
-        return out
+        return self.keep(both.mapInArrow(_near, "a long, b long"), "near")
+
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """node, n, found and wide of all ``wanted`` nodes and of some others, made anew from one document each.
+
+        Documents are sifted by their name in the scan, at every size; what the sieve lets through beside them does no harm.
+        """
+        reps = self.nodes.join(wanted.distinct(), "node", "left_semi").select(F.xxhash64("rep.doc_id", "rep.h").alias("key"))
+        told = self.docs.withColumn("key", F.xxhash64("doc_id", F.xxhash64("text")))
+        found = sifted(told, self.keep(reps, "reps"), "key", "maybe").where("maybe")
+        made = found.select("text").mapInArrow(_sets, "node long, n long, found binary, wide binary")
+        return self.keep(made.groupBy("node").agg(F.first("n").alias("n"), F.first("found").alias("found"), F.first("wide").alias("wide")), "sets")
+
+    def test(self, near: DataFrame) -> None:
+        """Compare pairs (a, b) by their sets, and keep their sizes."""
+        x = self.sets.select(F.col("node").alias("a"), F.col("found").alias("fa"))
+        y = self.sets.select(F.col("node").alias("b"), F.col("found").alias("fb"))
+        both = spread_join(spread_join(near, x, "a"), y, "b", counted=near)
+        self.tested.append(self.keep(both.select("a", "b", "fa", "fb").mapInArrow(_compare, "a long, b long, inter long, uni long"), "tested"))
 
     def classes(self) -> DataFrame:
         """(node, component) of all nodes with a link."""
-        links = self.all_tested().where(F.lit(WHOLE) * F.col("inter") >= F.lit(PART) * F.col("uni")).select("a", "b")
-        return components(links)
-
-    def with_class(self, large: DataFrame, classes: DataFrame) -> DataFrame:
-        return large.join(classes, "node", "left").select(*large.columns, F.coalesce("component", "node").alias("class"))
+        every = reduce(DataFrame.union, self.tested)
+        found = components(every.where(F.lit(WHOLE) * F.col("inter") >= F.lit(PART) * F.col("uni")).select("a", "b"))
+        self.used.append(found)
+        return found
 
     def run(self) -> DataFrame:
-        pairs, large = self.regions()
-        pairs = self.keep(pairs, "pairs")
-        some = not large.isEmpty()
-        self.know(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")))
-        if some:
-            # One pivot a region: the least by hash, so that a family's regions agree on it.
-            least = large.groupBy("s").agg(F.min(F.struct(F.xxhash64(F.lit(3), "node").alias("h"), F.col("node").alias("pivot"))).alias("p")).select("s", "p.pivot")
-            large = self.keep(large.join(least, "s"), "cells")
-            to_pivot = large.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            pairs = pairs.union(to_pivot).distinct()
-        self.test(pairs)
+        """(node, component) of all nodes with a link, after all regions."""
+        pairs, cells = self.regions()
+        near = self.bounded(pairs)
+        ends = near.select(F.col("a").alias("node")).union(near.select("b"))
+        self.sets = self.sets_of(ends.union(cells.select("node")))
+        self.test(near)
         classes = self.classes()
-        if some:
-            reach = self.all_tested().select("a", "b", (F.lit(1.0) - F.col("inter") / F.col("uni")).alias("d"))
-            far = (
-                large.withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
-                .join(reach, ["a", "b"], "left").select("s", "node", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"))
-            )
-            cells = self.keep(far, "far")
-            for nearest in (4, None):
-                more = self._outside(cells, classes, nearest)
-                if more.isEmpty():
-                    break
-                self.test(more)
-                classes = self.classes()
+        level = 0
+        while not cells.isEmpty():
+            level += 1
+            pairs, cells = self.step(cells, classes, level)
+            self.test(pairs)
+            classes = self.classes()
         return classes
 
-    def _outside(self, cells: DataFrame, classes: DataFrame, nearest: int | None) -> DataFrame:
-        """Pairs of a region's members outside its main class with its other classes, in blocks; the bounds leave few.
-
-        nearest: only so many of each member's best in a block, to join most families at little cost first.
-        """
-        at = self.keep(self.with_class(cells, classes), "at")
-        counts = at.groupBy("s", "class").agg(F.count(F.lit(1)).alias("k"))
-        main = counts.groupBy("s").agg(F.max(F.struct("k", "class")).alias("most"), F.count(F.lit(1)).alias("classes"), F.sum("k").alias("m"))
-        main = self.keep(main.where("classes > 1").select("s", F.col("most.class").alias("main"), "m", (F.col("m") - F.col("most.k")).alias("out")), "main")
-        info = self.info.select("node", "n", "bits")
-        rows = at.join(main, "s").join(info, "node")
+    def step(self, cells: DataFrame, classes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs to compare, and the cells of the regions that were divided."""
+        at = self.keep(cells.join(classes, "node", "left").select(*cells.columns, F.coalesce("component", "node").alias("class")), "at")
+        counts = at.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("k"), F.max("was").alias("was"))
+        sizes = counts.groupBy("cell").agg(F.max(F.struct("k", "class")).alias("most"), F.count(F.lit(1)).alias("classes"), F.sum("k").alias("m"), F.max("was").alias("was"))
+        out = F.col("m") - F.col("most.k")
+        main = self.keep(
+            sizes.where("classes > 1").select("cell", F.col("most.class").alias("main"), "m", out.alias("out"), ((out <= SMALL) | (F.col("m") > SHRUNK * F.col("was"))).alias("listed")), "main"
+        )
+        live = self.keep(at.drop("was").join(main, "cell"), "live")
+        rows = live.join(self.sets.select("node", "n", "wide"), "node")
 
         def blocks(c: str) -> Column:
             return F.ceil(F.col(c) / BLOCK).cast("int")
@@ -477,45 +566,28 @@ class Join:
         def own(c: str) -> Column:
             return F.pmod(F.xxhash64(F.lit(9), "node"), blocks(c)).cast("int")
 
-        fields = F.struct("node", "class", "d", "n", "bits")
-        outer = rows.where(F.col("class") != F.col("main")).select(
-            "s", own("out").alias("i"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("j"), F.lit(True).alias("outer"), fields.alias("r"))
-        every = rows.select("s", F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("i"), own("m").alias("j"), F.lit(False).alias("outer"), fields.alias("r"))
-        flat = outer.union(every).select("s", "i", "j", "outer", "r.*")
-        return self.keep(flat.groupBy("s", "i", "j").applyInArrow(_block_pairs(nearest), "a long, b long").distinct(), "outside")
-
-
-def _block_pairs(nearest: int | None):  # noqa: ANN202
-    def run(group: pa.Table) -> pa.Table:
-        node, kind, n = (group.column(c).to_numpy() for c in ("node", "class", "n"))
-        d = group.column("d").to_numpy(zero_copy_only=False).astype(float)
-        bits = group.column("bits").to_pylist()
-        outer = np.flatnonzero(group.column("outer").to_numpy(zero_copy_only=False).astype(bool))
-        inner = np.setdiff1d(np.arange(len(node)), outer)
-        left, right = [], []
-        by_size: dict[int, list[int]] = {}
-        for k in inner:
-            by_size.setdefault(len(bits[k]), []).append(k)
-        for k in outer:
-            found = []
-            for width, ks in by_size.items():
-                ks = np.array(ks)
-                ks = ks[(kind[ks] != kind[k]) & (WHOLE * np.minimum(n[ks], n[k]) >= PART * np.maximum(n[ks], n[k]))]
-                ks = ks[~(np.abs(d[ks] - d[k]) > (WHOLE - PART) / WHOLE + 1e-9)]  # unknown distances rule nothing out
-                if not len(ks):
-                    continue
-                size = min(width, len(bits[k]))
-                own = fold(bits[k], size)
-                apart = np.array([np.bitwise_count(fold(bits[j], size) ^ own).sum() for j in ks]) if size < width else np.bitwise_count(
-                    np.frombuffer(b"".join(bits[j] for j in ks), "<u8").reshape(len(ks), -1) ^ own).sum(1)
-                fits = apart <= most_apart(n[ks] + n[k])
-                found += zip((apart[fits] / (n[ks][fits] + n[k])).tolist(), ks[fits].tolist(), strict=True)
-            for _, j in sorted(found)[:nearest]:
-                left.append(min(node[k], node[j]))
-                right.append(max(node[k], node[j]))
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return run
+        member = ["cell", "m", "node", "class", "home", "n", "wide"]
+        listed = rows.where("listed")
+        outer = listed.where(F.col("class") != F.col("main")).select(
+            *member, own("out").alias("i"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("j"), F.lit(True).alias("outer"))
+        every = listed.select(*member, F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("i"), own("m").alias("j"), F.lit(False).alias("outer"))
+        compared = outer.unionByName(every).groupBy("cell", "i", "j").applyInArrow(_list, "a long, b long")
+
+        larger = rows.where("not listed")
+        least = F.min(F.struct(F.xxhash64(F.lit(level), "node").alias("h"), *member[1:]))
+        pivots = larger.where("home").groupBy("cell", F.pmod(F.xxhash64(F.lit(level), "class"), F.lit(PIVOTS)).alias("bucket")).agg(least.alias("p"))
+        pivots = pivots.select("cell", *[F.col(f"p.{c}").alias(c) for c in member[1:]])
+        dealt = larger.select(*member, own("m").alias("i"), F.lit(False).alias("pivot")).unionByName(
+            pivots.select(*member, F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("i"), F.lit(True).alias("pivot"))
+        )
+        divided = self.keep(dealt.groupBy("cell", "i").applyInArrow(_divide, "a long, b long, cell long, node long, home boolean, was long, parent long"), "divided")
+        pairs = self.keep(compared.union(divided.where("a is not null").select("a", "b")).distinct(), "pairs")
+        parts = divided.where("cell is not null")
+        # Where the windows hold nearly everything, dividing gains nothing: the region is listed at the next level.
+        vain = parts.groupBy("parent").agg(F.count(F.lit(1)).alias("rows"), F.max("was").alias("m")).where(F.col("rows") > COPIES * F.col("m")).select("parent")
+        vain = self.keep(vain, "vain")
+        whole = live.where("not listed").join(vain, F.col("cell") == F.col("parent"), "left_semi").select("cell", "node", "home", F.lit(0).cast("long").alias("was"))
+        return pairs, self.keep(parts.join(vain, "parent", "left_anti").select("cell", "node", "home", "was").union(whole), "cells")
 
 
 def join_documents(documents: DataFrame) -> DataFrame:
@@ -527,16 +599,15 @@ def join_documents(documents: DataFrame) -> DataFrame:
     """
     join = Join(documents)
     classes = join.run()
-    whole = join.members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    rooted = join.keep(whole.join(classes, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("class")), "rooted")
+    rooted = join.keep(join.nodes.join(classes, "node", "left").select("node", F.col("rep.doc_id").alias("rep"), F.coalesce("component", "node").alias("class")), "rooted")
     least = rooted.groupBy("class").agg(F.min("rep").alias("component_id"))
-    by_node = rooted.join(least, "class").select("node", "component_id")
+    by_node = join.keep(rooted.join(least, "class").select("node", "component_id"), "classes")
     out = stage(
-        join.members.join(by_node, "node", "left")
+        spread_join(join.members, by_node, "node", how="left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")),
         "joined",
     )
-    drop(*join.used, classes)
+    drop(*join.used)
     return out
 
 
@@ -545,21 +616,34 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     It is the row of smallest doc_id (nulls last), then of the least hash of its text; of rows with one doc_id and one
     text, the least by all columns. Rows without shingles link with nothing, so each stays.
+
+    Only rows that a sieve of the dropped and the repeated ones lets through are shuffled, at every size; all others stay
+    where they are read.
     """
     join = Join(documents)
     classes = join.run()
-    rows = join.members.groupBy("node", "doc_id", "h").agg(F.count(F.lit(1)).alias("m"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.col("m") > 1).alias("_twice"))
-    first = rows.where("node is not null").groupBy("node").agg(F.min(place).alias("first"))
-    first = first.join(classes, "node", "left").groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("first").alias("first"))
-    alone = rows.where("node is null").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.lit(False).alias("_twice"))
-    kept = join.keep(first.select("first._id", "first._h", "first._twice").union(alone), "kept")
-    told = documents.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
-    found = reduce(DataFrame.union, chosen(told, kept, ["_id", "_h"], "one", lambda x: x))
-    drop(*join.used, classes)
-    # Only repeated rows are grouped.
-    again = found.where("_twice").groupBy("_id", "_h").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in documents.columns])).alias("row")).select("row.*")
-    return found.where(~F.col("_twice")).select(*documents.columns).union(again)
+    first = join.nodes.join(classes, "node", "left").groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("rep").alias("rep"))
+    kept = first.select(F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("h"), F.lit(True).alias("kept"))
+    rows = join.members.where("node is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("m"))
+    both = rows.join(kept, rows.doc_id.eqNullSafe(kept.id) & (rows.h == kept.h), "left").select(rows.doc_id, rows.h, "m", F.coalesce("kept", F.lit(False)).alias("kept"))
+    own = documents.columns
+    key, maybe, said, again, one = (fresh(own, c) for c in ("key", "maybe", "kept", "m", "id"))
+    text = fresh(own, "h")
+    # What is dropped, and what is kept once of several rows.
+    told = join.keep(
+        both.where("not kept or m > 1").select(F.col("doc_id").alias(one), F.col("h").alias(text), F.col("kept").alias(said), F.col("m").alias(again), F.xxhash64("doc_id", "h").alias(key)), "told"
+    )
+    named = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    sieved = sifted(named, told.select(key), key, maybe)
+    stay = sieved.where(~F.col(maybe)).select(*own)
+    exact = spread_join(sieved.where(maybe), told, key, how="left", same=F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & F.xxhash64("text").eqNullSafe(F.col(text)), hot=told.where(F.col(again) > 1).select(key, again))
+    stay = stay.union(exact.where(F.col(said).isNull()).select(*own))
+    # Of repeated rows the least stays; aggregates are partial before their shuffle.
+    row = F.struct(*[F.col(f"`{c}`") for c in own])
+    least = exact.where(said).groupBy(key, one, text).agg(F.min(row).alias(key + "_row"))
+    out = stage(stay.union(least.select(F.col(key + "_row").alias(key)).select(f"{key}.*")), "one")
+    drop(*join.used)
+    return out
 
 
 def op6_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

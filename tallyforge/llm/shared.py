@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +38,29 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests) a new local one."""
+    """The folder named in spark.checkpoint.dir; only where it is unset and the session runs in one process a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_by_hand.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = set_by_hand.get() if set_by_hand.isDefined() else _own_dir()
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have Hadoop's file system delete ``path`` when the driver's JVM ends: results are lazy and may be read until then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stage(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    forget_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -64,6 +74,55 @@ def drop(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name that no column of ``taken`` has, whatever the case of its letters."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+#: Words of a sieve, of 64 bits each: it is broadcast, and has no more rows than this whatever it is made from.
+SIEVE_WORDS = 1 << 20
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, key: str, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only where no row of ``wanted`` has the same value in ``key`` (a hash, a long, not null).
+
+    A bitmap of a fixed number of bits is broadcast; the more is wanted, the more of the others it lets through.
+    """
+    def bit(what: str, a: Column, slot: Column) -> Column:
+        return F.call_function(what, a, slot.bitwiseAND(F.lit(63)).cast("int"))
+
+    slot = F.pmod(F.col(key), F.lit(64 * SIEVE_WORDS))
+    word, bits = (fresh(rows.columns, c) for c in ("word", "bits"))
+    held = wanted.groupBy(F.shiftrightunsigned(slot, 6).alias(word)).agg(F.bit_or(bit("shiftleft", F.lit(1).cast("long"), slot)).alias(bits))
+    named = rows.withColumn(word, F.shiftrightunsigned(slot, 6)).join(F.broadcast(held), word, "left")
+    return named.withColumn(flag, F.coalesce(bit("shiftright", F.col(bits), slot).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))).drop(word, bits)
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", same: Column | None = None, hot: DataFrame | None = None, counted: DataFrame | None = None, ways: int = 32
+) -> DataFrame:
+    """Join on ``key`` (and ``same``) in which a key with more than a thousandth of the left rows is dealt to ``ways`` tasks.
+
+    Right rows of such keys are copied, so there should be few a key. At most a thousand keys are hot, whatever the size.
+    A left join deals null keys out as well. hot: (key, number of rows) where these are known; counted: rows to count
+    instead of ``left``. Columns other than the key must differ in name; the right key is dropped.
+    """
+    counts = hot.toDF(key, "m") if hot is not None else (counted if counted is not None else left).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("m"))
+    total = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    many = [r[0] for r in counts.where(F.col("m") > max(1000, total // 1000)).select(key).collect()]
+    salt = fresh([*left.columns, *right.columns], "salt")
+    other = fresh([*left.columns, *right.columns, salt], "to")
+    is_hot = F.col(key).isin(many) if many else F.lit(False)
+    dealt = left.withColumn(salt, F.when(is_hot | F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(ways)).cast("int")).otherwise(0))
+    copied = right.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
+    copied = copied.withColumnsRenamed({key: other, salt: f"{other}_{salt}"})
+    on = (F.col(key) == F.col(other)) & (F.col(salt) == F.col(f"{other}_{salt}"))
+    return dealt.join(copied, on if same is None else on & same, how).drop(salt, other, f"{other}_{salt}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
-from tallyforge.llm import embedding_dedup, jaccard
+import pytest
+from pyspark.sql import functions as F
+from tallyforge.llm import embedding_dedup, jaccard, shared
 from tallyforge.llm.shared import components
 
 
@@ -108,30 +110,70 @@ def test_one_row_of_each(make):
 
 
 def test_many_ids(spark, make, odd, monkeypatch):
-    """More ids than are broadcast at once: the same rows, and no text goes through a join's shuffle."""
+    """A sieve that lets everything through, and hot keys: the same rows."""
     r = random.Random(5)
     texts = family(r, [f"b{k}" for k in range(80)], 12, 0.03) + family(r, [f"c{k}" for k in range(90)], 12, 0.2)
-    docs = make([*odd, *((100 + k, t) for k, t in enumerate(texts))])
+    docs = make([*odd, *((100 + k, t) for k, t in enumerate(texts)), *[(50, texts[0])] * 30])
     want = sorted(map(repr, jaccard.one_of_each(docs).collect())), sorted(map(repr, jaccard.join_documents(docs).collect()))
-    plans = []
-
-    def watched(df, what, *more):
-        if "text" in df.columns:
-            plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return stage(df, what, *more)
-
-    stage = jaccard.stage
-    monkeypatch.setattr(jaccard, "stage", watched)
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 4)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert len(want[0]) == len({x.component_id for x in jaccard.join_documents(docs).where("n_shingles > 0").collect()}) + 3
+    monkeypatch.setattr(shared, "SIEVE_WORDS", 1)
+    assert (sorted(map(repr, jaccard.one_of_each(docs).collect())), sorted(map(repr, jaccard.join_documents(docs).collect()))) == want
+
+
+def test_sieve_and_spread_join(spark):
+    rows = spark.range(5000).selectExpr("xxhash64(id) AS key", "id")
+    wanted = rows.where("id % 7 = 0").select("key")
+    got = {x.id for x in shared.sifted(rows, wanted, "key", "maybe").where("maybe").collect()}
+    assert got >= set(range(0, 5000, 7)) and len(got) < 5000 // 7 + 30
+    assert not shared.sifted(rows, wanted.limit(0), "key", "maybe").where("maybe").count()
+    left = spark.range(9000).selectExpr("CASE WHEN id < 6000 THEN 1 WHEN id < 8000 THEN id END AS k", "id")
+    right = spark.createDataFrame([(1, "a"), (7000, "b"), (9999, "c")], "k long, v string")
+    for how in ("inner", "left"):
+        got = shared.spread_join(left, right, "k", how)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right, "k", how).select(*got.columns).collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        one = jaccard.one_of_each(docs)
-        plans.append(one._jdf.queryExecution().executedPlan().toString())
-        assert (sorted(map(repr, one.collect())), sorted(map(repr, jaccard.join_documents(docs).collect()))) == want
+        dealt = shared.spread_join(left, right.hint("shuffle_hash"), "k", "left").groupBy(F.spark_partition_id()).count()
+        assert dealt.agg(F.max("count")).first()[0] < 6000
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert not [p for p in plans if "SortMergeJoin" in p or "ShuffledHashJoin" in p]
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("small, pivots, core", [(1, 2, 0.75), (2, 3, 0.3), (4, 5, 1.2), (1, 8, 0.05)])
+def test_cells_hold_all_links(spark, make, monkeypatch, small, pivots, core):
+    """Regions divided down to single documents, whatever the radius: no link is lost."""
+    r = random.Random(small)
+    passage = [f"p{k}" for k in range(40)]
+    texts = []
+    for n, size, rate in ((60, 120, 0.02), (40, 60, 0.04), (30, 90, 0.06)):
+        texts += family(r, passage[: size // 3] + [f"b{r.randrange(10**6)}" for _ in range(size - size // 3)], n, rate)
+    texts += [" ".join(passage + [f"u{r.randrange(10**6)}" for _ in range(r.randrange(1, 60))]) for _ in range(40)]
+    rows = list(enumerate(texts))
+    for name, value in (("SMALL", small), ("PIVOTS", pivots), ("CORE", core), ("BLOCK", 16), ("SHRUNK", 0.95), ("COPIES", 1e9)):
+        monkeypatch.setattr(jaccard, name, value)
+    levels = []
+    step = jaccard.Join.step
+    monkeypatch.setattr(jaccard.Join, "step", lambda self, cells, classes, level: levels.append(level) or step(self, cells, classes, level))
+    assert joined(make, rows) == brute(rows)
+    assert levels
+
+
+def test_windows():
+    """Any two points within both reaches are in one cell of which one is at home."""
+    rng = np.random.default_rng(8)
+    n = rng.integers(8, 60, 300)
+    near = []
+    points = (rng.random((300, 256)) < 0.3) ^ False
+    for k in range(150, 300):  # close to another one
+        points[k] = points[k - 150]
+        points[k, rng.integers(0, 256, rng.integers(0, 12))] ^= True
+    gap = (points[:, None] != points[None]).sum(2)
+    for radius in (0, 20, 60, 100):
+        home, guest = jaccard.cells_of(gap[:, :12], n, radius)
+        for i, j in zip(*np.nonzero(gap <= np.minimum(n[:, None], n[None]) / 4), strict=True):
+            near.append((i, j))
+            assert home[i] == home[j] or home[i] >= 0 and guest[j, home[i]] or home[j] >= 0 and guest[i, home[j]]
+    assert len(near) > 1500
 
 
 def test_bounds():
@@ -142,6 +184,8 @@ def test_bounds():
         x, y = jaccard.bitmap(a), jaccard.bitmap(b)
         size = min(len(x), len(y))
         assert np.bitwise_count(jaccard.fold(x, size) ^ jaccard.fold(y, size)).sum() <= len(np.setxor1d(a, b))
+        x, y = (np.frombuffer(jaccard.bitmap(z, jaccard.WIDE), "<u8")[None] for z in (a, b))
+        assert np.bitwise_count(jaccard.folded(x, min(x.nbytes, y.nbytes)) ^ jaccard.folded(y, min(x.nbytes, y.nbytes))).sum() <= len(np.setxor1d(a, b))
     for n in range(1, 300):
         need = -(-80 * n // 100)
         assert jaccard.prefix_size(n) == n - need + 1
