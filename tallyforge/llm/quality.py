@@ -38,7 +38,7 @@ def _votes(text: str, words: list[str]) -> list[int]:
     marks = sum(map(text.count, "*&%$#@~^=+<>|!{}\\")) / len(text)
     bars = (words.count("|") + words.count("-") + words.count("•")) / n
     same = sum(map(str.__eq__, words, words[1:])) / max(1, n - 1)
-    distinct = len(set(words[:400])) / min(n, 400) if n <= 400 else min(len(set(words[k : k + 400])) / len(words[k : k + 400]) for k in range(0, n - 199, 400))
+    distinct = min(len(set(words[k : k + 400])) / min(n, 400) for k in [*range(0, n - 400, 400), max(0, n - 400)])  # the last window ends with the text
     tail = sum(w[-1] in _SUFFIX for w in words) / n
     plain = sum(map(str.isalpha, map(str.lower, (w.strip(".,;:?") for w in words)))) / n
 
@@ -113,14 +113,14 @@ def fit_label_model(counts: dict[int, int], turns: int = 100) -> LabelModel:
 
 
 def _shape(word: str) -> bytes:
-    """Form of a word with runs folded to one sign: A, a, 9 or the mark itself; at most 12 signs."""
+    """Form of a word with runs folded to one sign: A, a, 9 or the mark itself."""
     out, last = [], ""
     for c in word:
         s = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if s != last:
             out.append(s)
             last = s
-    return "".join(out[:12]).encode()
+    return "".join(out).encode()
 
 
 class Features:
@@ -175,11 +175,13 @@ def train_scorer(x: np.ndarray, p: np.ndarray, turns: int = 300, rate: float = 2
 def fit(documents: DataFrame) -> tuple[LabelModel, np.ndarray]:
     """The label model from the votes of all documents, and the scorer's weights from a sample of TRAINED documents.
 
-    An empty table gives a model that scores every text 0.5.
+    A row is drawn by a hash of its doc_id, its text and its place in the table, so that neither repeated ids nor repeated
+    rows are drawn together: the sample's size is binomial, about TRAINED. An empty table gives a model that scores every
+    text 0.5.
     """
     n = documents.count()
     share = min(1.0, TRAINED / max(n, 1))
-    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.length("text")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.xxhash64("text"), F.monotonically_increasing_id()), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
     schema = pa.schema([("pattern", pa.int32()), ("features", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +195,7 @@ def fit(documents: DataFrame) -> tuple[LabelModel, np.ndarray]:
 
     votes = stage(documents.select("text", drawn.alias("drawn")).mapInArrow(run, "pattern int, features binary"), "votes")
     model = fit_label_model({r.pattern: r.n for r in votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()})
-    rows = votes.where("features is not null").limit(2 * TRAINED).collect()
+    rows = votes.where("features is not null").collect()
     drop(votes)
     x = np.array([np.frombuffer(r.features, np.float32) for r in rows]).reshape(-1, 1 << BITS)
     p = model.posterior(np.array([unpack(r.pattern) for r in rows], np.int64).reshape(-1, len(LABELLERS)))
