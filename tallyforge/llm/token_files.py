@@ -1,12 +1,14 @@
 """Token files: every document compressed on its own by zstandard with one shared dictionary, with an offset index.
 
-A data set is a folder of two tables: ``dictionary`` (one row: hash, dictionary) and ``segments``, whose ``image``
-column holds complete binary segments:
+A data set is a folder of two tables: ``dictionary`` (one row: hash, dictionary) and ``segments``: part, segment, n_tokens,
+the bounds of the doc_ids inside (lo, hi; nulls are not counted, ``nulls`` says whether there are any), and ``image``, a
+complete binary segment:
 
     magic "TKSEG\\0\\0\\1" | unit u8, 7 bytes of padding | n u64 | base u64 | dictionary hash 16 bytes
     | n doc_ids i64 | n flags u8 (1: doc_id is null), padded to 8 | n+1 token starts u64 | n+1 byte starts u64 | frames
 
-base: tokens before the segment in its part. A reader takes one document by three slices of the index and one frame.
+base: tokens before the segment in its part. A reader takes one document by three slices of the index and one frame;
+``read_document`` finds its segment by the bounds, which Parquet's statistics prune as well.
 unit: 2 where all ids are below 65,536, else 4 bytes an id, little-endian.
 """
 
@@ -26,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import drop, parallelism, shared_dir, stage, table
+from .shared import drop, forget_at_exit, parallelism, shared_dir, stage, table
 
 MAGIC = b"TKSEG\0\0\1"
 HEAD = struct.Struct("<8sB7xQQ16s")
 SEGMENT_BYTES = 512 << 10
-#: The dictionary is trained on about this many documents, drawn by hash, cut into arrays of at most SAMPLE_BYTES.
-SAMPLED_DOCUMENTS, SAMPLE_BYTES = 1500, 8 << 10
+#: The dictionary is trained on about this many documents, drawn by hash: of each a window of SAMPLE_IDS ids at a drawn
+#: place (all of a shorter one), cut into arrays of at most SAMPLE_BYTES.
+SAMPLED_DOCUMENTS, SAMPLE_IDS, SAMPLE_BYTES = 1500, 8 << 10, 8 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 REMEMBERED = 900_000  # words and pieces a worker's encoder remembers; nothing else runs beside it
@@ -106,6 +109,10 @@ class Segment:
     def doc_id(self, k: int) -> int | None:
         return None if self.null[k] else int(self.doc_ids[k])
 
+    def places(self, doc_id: int | None) -> np.ndarray:
+        """Numbers of the documents with this doc_id."""
+        return np.flatnonzero(self.null == 1) if doc_id is None else np.flatnonzero((self.doc_ids == doc_id) & (self.null == 0))
+
     def ids(self, k: int) -> np.ndarray:
         """All ids of the k-th document."""
         a, b = self.frames + int(self.offsets[k]), self.frames + int(self.offsets[k + 1])
@@ -123,12 +130,14 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = docs.count()
-    drawn = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 40)) < F.lit(int(min(1.0, SAMPLED_DOCUMENTS / max(n, 1)) * (1 << 40)))
+    # Neither repeated ids nor repeated rows are drawn together.
+    drawn = F.pmod(F.xxhash64(F.lit(7), "doc_id", F.xxhash64("text"), F.monotonically_increasing_id()), F.lit(1 << 40)) < F.lit(int(min(1.0, SAMPLED_DOCUMENTS / max(n, 1)) * (1 << 40)))
     spec = bpe.load(spark, tokenizer or bpe.default_tokenizer())
     unit = 2 if max(len(bpe.vocabulary(spec.value).tokens) - 1, end_id) < 1 << 16 else 4
-    sample = bpe.encode_documents(docs.where(drawn).limit(4 * SAMPLED_DOCUMENTS), tokenizer, own=False)
+    sample = bpe.encode_documents(docs.where(drawn), tokenizer, own=False)
     end = struct.pack("<I", end_id)
-    pieces = F.substring("ids", 1, 4 * SAMPLE_BYTES)  # only to train on
+    windows = F.greatest(F.lit(1), F.ceil(F.octet_length("ids") / (4 * SAMPLE_IDS)))
+    pieces = F.substring("ids", (F.pmod(F.xxhash64(F.lit(8), "ids"), windows) * (4 * SAMPLE_IDS) + 1).cast("int"), F.lit(4 * SAMPLE_IDS))  # only to train on
     dictionary = train([serialize(bytes(r.ids) + end, unit) for r in sample.select(pieces.alias("ids")).collect()])
     spark.createDataFrame([(hash_of(dictionary), dictionary)], "hash binary, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("frame", pa.binary())])
@@ -145,7 +154,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
 
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     frames = stage(hashed.mapInArrow(compress, "doc_id long, h long, n long, frame binary"), "frames", "uncompressed")
-    out = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("image", pa.binary())])
+    out = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("nulls", pa.bool_()), ("image", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, said = TaskContext.get().partitionId(), hash_of(dictionary)
@@ -153,7 +162,9 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
         docs: list[tuple[int | None, int, bytes]] = []
 
         def done() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([x], f.type) for x, f in zip((part, number, tokens, write_segment(docs, base, unit, said)), out, strict=True)], schema=out)
+            named = [i for i, _, _ in docs if i is not None]
+            row = part, number, tokens, min(named, default=None), max(named, default=None), len(named) < len(docs), write_segment(docs, base, unit, said)
+            return pa.record_batch([pa.array([x], f.type) for x, f in zip(row, out, strict=True)], schema=out)
 
         for b in batches:
             for i, _, k, frame in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -167,7 +178,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
             yield done()
 
     ranged = frames.repartitionByRange(parallelism(spark), F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "n")
-    ranged.mapInArrow(pack, "part int, segment int, n_tokens long, image binary").write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    ranged.mapInArrow(pack, "part int, segment int, n_tokens long, lo long, hi long, nulls boolean, image binary").write.option("compression", "uncompressed").parquet(f"{path}/segments")
     drop(frames)
 
 
@@ -201,7 +212,17 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     return segments.join(starts, "part").select("before", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
+def read_document(spark: SparkSession, path: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of every document with this doc_id (null: None), in the order of the files; only segments whose bounds hold it are read."""
+    dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
+    inside = F.col("nulls") if doc_id is None else (F.col("lo") <= doc_id) & (F.col("hi") >= doc_id)
+    found = spark.read.parquet(f"{path}/segments").where(inside).orderBy("part", "segment").select("image")
+    segments = (Segment(bytes(r.image), dictionary) for r in found.toLocalIterator())
+    return [s.ids(int(k)) for s in segments for k in s.places(doc_id)]
+
+
 def op2_zstd_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    forget_at_exit(spark, path)
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
