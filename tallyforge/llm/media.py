@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stage, table
+from .shared import drop, stage, table
 
 UNIT = 576  # bytes; the payload is padded to a positive multiple of it
 WIDTH = 24  # samples a row of the stored image
@@ -65,6 +65,8 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, ">u2" if most > 255 else np.uint8, w * h * channels, at + 1)
     if flat.size < w * h * channels:
         raise ValueError("too few samples")
+    if flat.size and int(flat.max()) > most:
+        raise ValueError("a sample above the maximum")
     if kind in (1, 4):
         flat = (1 - flat) * 255  # 1 is black
     elif most != 255:
@@ -193,17 +195,26 @@ def media_features(media: DataFrame, tile: int = 16) -> DataFrame:
     return media.mapInPandas(run, schema)
 
 
-def op3_netpbm_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts stored as greymaps, read back, decoded; the digests are of what was read back."""
-    found = media_features(store_documents(table(spark, sf_dir, "documents")))
-    return found.select(
-        "doc_id", "n_bytes",
-        F.octet_length("samples").cast("long").alias("payload_bytes"),
-        F.sha2("samples", 256).alias("payload_sha256"),
-        F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature"),
-    )
+def write_tiles(media: DataFrame, tile: int = 16) -> DataFrame:
+    """The rows of ``media`` (a binary column media, others kept but for media) with digests, and its tile as the bytes of an
+    NPY file, written to the shared folder and read back.
+
+    Adds payload_bytes, payload_sha256, tail_crc32 (of the decoded samples), media_bytes, media_sha256, dhash and tile, which
+    are null (media_bytes and media_sha256 only for a null image) where an image is null or broken; such columns are replaced.
+    """
+    made = {
+        "payload_bytes": F.octet_length("samples").cast("long"), "payload_sha256": F.sha2("samples", 256), "tail_crc32": F.crc32(F.substring("samples", -32, 32)),
+        "media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256), "dhash": F.col("dhash"), "tile": F.col("tile"),
+    }
+    found = media_features(media, tile)
+    keep = [c for c in media.columns if c not in ("media", "width", "height", "samples", *made)]
+    return stage(found.select(*keep, *[v.alias(k) for k, v in made.items()]), "tiles")
 
 
+def op3_netpbm_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as greymaps, read back and decoded; the digests are of what was read back, the feature of the stored tile."""
+    media = store_documents(table(spark, sf_dir, "documents"))
+    tiles = write_tiles(media)
+    drop(media)
+    feature = F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature")
+    return tiles.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
