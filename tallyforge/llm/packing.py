@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import parallelism, stage, table
+from .shared import fresh, parallelism, stage, table
 
 CAPACITY = 1024
+ROWS_A_SHARE = 100_000
 END_ID = 2
 REMEMBERED = 250_000  # words and pieces a worker's encoder remembers; other operators of a pipeline need room as well
 
@@ -137,36 +138,42 @@ def token_pieces(documents: DataFrame, tokenizer: str | None = None, end_id: int
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (length long from 1 to capacity, doc_id, piece, more columns).
 
-    Ranks among equal lengths are counted in shares of hashed doc_ids, so that one length (full pieces may be most of
-    all) is many tasks' work. Rows that agree in all columns are packed apart like any others. Columns named
-    sequence_id or offset are replaced. No rows: no rows.
+    Ranks among equal lengths are counted in shares of rows dealt by their number in the staged table, so that one length
+    (full pieces may be most of all) or one repeated row is many tasks' work, and a task that runs again gives the same
+    ranks. Rows that agree in all columns are packed apart like any others. Columns named sequence_id or offset are
+    replaced. No rows: no rows.
     """
     spark = pieces.sparkSession
-    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    shares = max(64, 4 * parallelism(spark))
-    dealt = pieces.select(*own, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int").alias("_share"))
-    counted = stage(dealt.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("n")), "lengths")  # capacity x shares rows at most
+    own = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    share, row, inside, base, rank, lo, hi, each, first, at, size = (
+        fresh([*own, "sequence_id", "offset"], c) for c in ("share", "row", "inside", "base", "rank", "lo", "hi", "each", "first", "at", "size")
+    )
+    held = stage(pieces.select(*own).withColumn(row, F.monotonically_increasing_id()), "pieces")
+    rows = held.count()
+    shares = max(64, 4 * parallelism(spark), rows // ROWS_A_SHARE)
+    dealt = held.withColumn(share, F.pmod(F.xxhash64(row), F.lit(shares)).cast("int"))
+    counted = stage(dealt.groupBy("length", share).agg(F.count(F.lit(1)).alias("n")), "lengths")  # capacity x shares rows at most
     counts = {int(r.length): int(r.n) for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = F.broadcast(spark.createDataFrame(  # bounded by the capacity
-        slots_of(plan(counts, capacity)), "length long, _lo long, _hi long, _each long, _first long, _at long"
+        slots_of(plan(counts, capacity)), f"{size} long, {lo} long, {hi} long, {each} long, {first} long, {at} long"
     ))
-    ahead = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.select("length", "_share", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_share").orderBy("doc_id", "piece")
-    ranked = dealt.withColumn("_in", F.row_number().over(inside) - 1).join(base, ["length", "_share"]).withColumn("_rank", F.col("_base") + F.col("_in"))
-    placed = ranked.join(slots, "length").where("_rank >= _lo and _rank < _hi")
-    past = F.col("_rank") - F.col("_lo")
+    ahead = Window.partitionBy("length").orderBy(share).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.select("length", share, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(base))
+    order = Window.partitionBy("length", share).orderBy(row)
+    ranked = dealt.withColumn(inside, F.row_number().over(order) - 1).join(bases, ["length", share]).withColumn(rank, F.col(base) + F.col(inside))
+    placed = ranked.join(slots, (F.col("length") == F.col(size)) & (F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
+    past = F.col(rank) - F.col(lo)
     return placed.select(
         *own,
-        (F.col("_first") + F.floor(past / F.col("_each"))).cast("long").alias("sequence_id"),
-        (F.col("_at") + (past % F.col("_each")) * F.col("length")).cast("long").alias("offset"),
+        (F.col(first) + F.floor(past / F.col(each))).cast("long").alias("sequence_id"),
+        (F.col(at) + (past % F.col(each)) * F.col("length")).cast("long").alias("offset"),
     )
 
 
 def pack_documents(documents: DataFrame) -> DataFrame:
     """The query's columns for any documents; the ids are encoded once and kept as their CRC."""
     found = token_pieces(documents).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(stage(found, "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
