@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -43,6 +44,7 @@ def test_aliases(spark):
     )
     assert {(r.src, r.dst) for r in url_filter.alias_edges(pages).collect()} == {
         ("http://www.A.b/x/?utm_source=1&q=2#f", "https://a.b/x?q=2"), ("https://a.b/x?q=2", "http://a.b/c"), ("https://h.i/j", "http://k.l/m"),
+        ("http://a.b/c", "https://a.b/c"), ("http://k.l/m", "https://k.l/m"),
     }
 
 
@@ -127,6 +129,22 @@ def test_clean_texts_stay(text):
     assert pii.all_spans(text)[1] == []
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("at eight dot eight dot eight dot eight we", "ip", "eight dot eight dot eight dot eight"), ("ring plus four four 20 seven nine four six zero nine five eight ok", "phone", "plus four four 20 seven nine four six zero nine five eight"),
+    ("ask john dot doe at example dot com now", "email", "john dot doe at example dot com"), ("ask john dot q dot doe [at] example [dot] com", "email", "john dot q dot doe [at] example [dot] com"),
+])
+def test_more_disguises(text, kind, found):
+    assert [(k, text[a:b]) for k, a, b in pii.all_spans(text)[1]] == [(kind, found)]
+
+
+@pytest.mark.parametrize("part", [" " * 1000 + "[at]", "a at b dot com ", "one two three ", "x dot y dot ", "[ ", "a@b.c d [at] e [dot] f ", "1 ", "at ", "plus "])
+def test_long_texts_take_linear_time(part):
+    text = part * (1_000_000 // len(part))
+    began = time.process_time()
+    pii.all_spans(text)
+    assert time.process_time() - began < 6
+
+
 def test_pii_rows(make, odd):
     rows = [*odd, (50, "a@b.c and d [at] e [dot] f"), (51, "1" * 100000), (52, "a at b dot c " * 3000)]
     got = {r.doc_id: r for r in pii.find_pii(make(rows)).collect()}
