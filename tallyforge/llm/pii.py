@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,10 +104,13 @@ DIGITS = {name: str(d) for d, names in enumerate(_NAMES) for name in names.split
 _NAME = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _GAP = r"[\s,.\-]{1,3}"
 _POINT = r"(?:dot|point|punkt|punto)"
-#: A run of digits in words (single figures between them are allowed), perhaps with a spelled plus or dots.
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus|más){_GAP})?(?:(?:{_NAME}|[0-9]){_GAP}(?:{_POINT}{_GAP})?){{5,}}(?:{_NAME}|[0-9])(?!\w)")
-_SPELLED_TOKEN = re.compile(rf"(?i)(?P<name>{_NAME})(?!\w)|(?P<plus>plus|más)(?!\w)|(?P<dot>{_POINT})(?!\w)|(?P<figure>[0-9])")
-_BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(?:(?P<at>at|@|arroba)|(?P<dot>dot|point|punkt|punto|\.))\s*[\])}>]\s*")
+#: A run of digits in words (figures between them are allowed), perhaps with a spelled plus or dots; the identifiers' own
+#: tests say whether it is one.
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus|más){_GAP})?(?:(?:{_NAME}|[0-9]+){_GAP}(?:{_POINT}{_GAP})?){{3,}}(?:{_NAME}|[0-9]+)(?!\w)")
+_SPELLED_NAME = re.compile(rf"(?i){_NAME}")
+_SPELLED_TOKEN = re.compile(rf"(?i)(?P<name>{_NAME})(?!\w)|(?P<plus>plus|más)(?!\w)|(?P<dot>{_POINT})(?!\w)|(?P<figure>[0-9]+)")
+#: Without the white space before it, which ``_addresses`` adds: a pattern that begins with it would be tried at every blank.
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:(?P<at>at|@|arroba)|(?P<dot>dot|point|punkt|punto|\.))\s*[\])}>]\s*")
 #: A bare "at" or "dot" counts only where both stand in the place an address has them.
 _BARE = re.compile(
     rf"(?i)(?<=[a-z0-9])\s+(?:at|arroba)\s+(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\s+{_POINT}\s+[a-z])"
@@ -153,8 +157,10 @@ class Mapped:
 def _spelled(text: str) -> list[Piece]:
     out: list[Piece] = []
     for run in _SPELLED.finditer(text):
+        if not _SPELLED_NAME.search(text, *run.span()):
+            continue
         tokens = list(_SPELLED_TOKEN.finditer(text, *run.span()))
-        if sum(t.lastgroup == "name" for t in tokens) < 4:
+        if sum(t.lastgroup == "name" for t in tokens) < 2:
             continue
         for t, after in zip(tokens, [*tokens[1:], None], strict=True):  # a token takes the gap behind it
             to = after.start() if after else t.end()
@@ -163,17 +169,34 @@ def _spelled(text: str) -> list[Piece]:
 
 
 def _addresses(text: str) -> list[Piece]:
-    out: list[Piece] = [(*m.span(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
-    bracketed_at = [b for (_, b, new) in out if new == "@"]
-    near = [m.span() for m in _BARE.finditer(text)]
-    at_ends = sorted(bracketed_at + [b for a, b in near if not _is_dot(text[a:b])])
-    for a, b in near:
-        if not _is_dot(text[a:b]):
-            out.append((a, b, "@"))
-        elif any(0 <= a - e <= 255 and not re.search(r"[\s]", re.sub(rf"(?i)\s+{_POINT}\s+", ".", text[e:a])) for e in at_ends):
+    """Disguised at and dot signs. Bracketed ones count anywhere; a bare dot only in the domain behind an at, or in the local
+    part before one, with no other white space between. One pass over the marks in order."""
+    marks: list[tuple[int, int, str, bool]] = []
+    for m in _BRACKETED.finditer(text):
+        a, least = m.start(), marks[-1][1] if marks else 0
+        while a > least and text[a - 1].isspace():
+            a -= 1
+        marks.append((a, m.end(), "@" if m["at"] else ".", True))
+    for m in _BARE.finditer(text):
+        marks.append((*m.span(), "." if _is_dot(m[0]) else "@", False))
+    marks.sort()
+    marks = [x for k, x in enumerate(marks) if k == 0 or x[0] >= max(y[1] for y in marks[max(0, k - 2) : k])]
+    out: list[Piece] = []
+    linked: list[Piece] = []  # bare dots that a name before an at may hold
+    end, domain = 0, False  # of the last mark; whether it stands in a domain
+    for a, b, sign, bracketed in marks:
+        joined = end > 0 and a - end <= 255 and not any(c.isspace() for c in text[end:a])
+        if not joined:
+            linked, domain = [], False
+        if sign == "@":
+            out += [*linked, (a, b, "@")]
+            linked, domain = [], True
+        elif bracketed or domain:
             out.append((a, b, "."))
-    out.sort()
-    return [p for k, p in enumerate(out) if k == 0 or p[0] >= out[k - 1][1]]
+        else:
+            linked.append((a, b, "."))
+        end = b
+    return sorted(out)
 
 
 def _is_dot(word: str) -> bool:
@@ -204,10 +227,13 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     if m is None:
         return plain, plain
     found = set(plain)
+    starts = {kind: [x for k, x, _ in plain if k == kind] for kind in KINDS}  # plain spans of a kind don't overlap
+    ends = {kind: [x for k, _, x in plain if k == kind] for kind in KINDS}
     for kind, a, b in plain_spans(m.text):
         if 1 in m.moved[a:b]:
             span = kind, m.start[a], m.end[b - 1]
-            if not any(k == kind and s <= span[1] and span[2] <= e for k, s, e in plain):
+            at = bisect_right(starts[kind], span[1]) - 1
+            if at < 0 or ends[kind][at] < span[2]:
                 found.add(span)
     return plain, sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -228,10 +254,10 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join(out)
 
 
-def find_pii(documents: DataFrame) -> DataFrame:
+def find_pii(documents: DataFrame, masked: bool = True) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (plain ones), base (their spans), spans (all) and masked of every row.
 
-    A null text counts as empty (masked stays null): no spans, empty strings. Repeated rows stay; other columns go.
+    masked: without, that column is null and no text comes back. A null text counts as empty (masked stays null): no spans, empty strings. Repeated rows stay; other columns go.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("spans", pa.string()), ("masked", pa.string())])
 
@@ -239,7 +265,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
         def row(i: int | None, text: str | None) -> tuple:
             plain, every = all_spans(text or "")
             counts = [sum(s[0] == k for s in plain) for k in KINDS]
-            return i, *counts, digest(plain), digest(every), mask(text, every) if text else text
+            return i, *counts, digest(plain), digest(every), mask(text, every) if masked and text else text if masked else None
 
         rows = (row(i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         yield from bpe.in_batches(rows, schema, lambda r: 64 + len(r[6]) + 2 * len(r[7] or ""))
@@ -268,5 +294,5 @@ def mask_documents(documents: DataFrame) -> DataFrame:
 
 
 def op4_offset_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents"))
+    found = find_pii(table(spark, sf_dir, "documents"), masked=False)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
