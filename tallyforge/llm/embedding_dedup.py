@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, drop, parallelism, stage, table
+from .shared import components, drop, parallelism, spread_join, stage, table
 
 COSINE = 0.95
 RECALL = 0.98  # wanted for pairs just at the threshold; closer ones are found more surely
 BUCKET = 16  # vectors a bucket by chance
 SIGMAS = 3.5  # half-width of the confidence interval of an estimate, in units of its error
 BLOCK = 2048
-BROADCAST_BUCKETS = 100_000
+ROWS_A_TASK = 200_000  # rows of buckets and of their blocks' copies
 SEED = 20_001
 
 
@@ -285,12 +285,15 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     bits, tables = tables_for(n, cosine)
-    parts = max(parallelism(spark), math.ceil(n * tables / 200_000))  # rows a task holds
     coded = stage(nodes.select("node", "embedding").mapInArrow(_encode(dim, bits, tables), _CODED), "codes")
     sizes = coded.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
-    sizes = stage(sizes.select("tab", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hot")
-    small = sizes.count() <= BROADCAST_BUCKETS
-    dealt = coded.join(F.broadcast(sizes) if small else sizes, ["tab", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sizes = stage(sizes.select("tab", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), "m"), "hot")
+    copies = int(sizes.agg(F.coalesce(F.sum(F.col("m") * (F.col("blocks") - 1)), F.lit(0))).first()[0])
+    parts = max(parallelism(spark), math.ceil((n * tables + copies) / ROWS_A_TASK))
+    named_bucket = F.xxhash64("tab", "key")
+    hot = sizes.select(named_bucket.alias("bucket"), F.col("tab").alias("hot_tab"), F.col("key").alias("hot_key"), "blocks")
+    same = (F.col("tab") == F.col("hot_tab")) & (F.col("key") == F.col("hot_key"))
+    dealt = spread_join(coded.withColumn("bucket", named_bucket), hot, "bucket", "left", same, hot=sizes.select(named_bucket, "m")).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # Row of block o meets every block: as the first of (o, j) for j >= o and as the second of (i, o) for i < o.
     dealt = dealt.withColumn("o", own).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
