@@ -6,15 +6,18 @@ before common) breaks the ties. Two documents within distance 0.2 meet in the re
 size - ceil(0.8 size) + 1 shingles, and a document is replicated to just those. Whole documents as only pivots would not
 do: most lie at distance 1 from one another, and every triangle-inequality window would hold everything.
 
-Regions whose documents are of one class but for SMALL are listed. All others are divided, level by level, by documents:
-up to PIVOTS of a region, of different classes where there are such, are its pivots; every document measures its distance
+Every larger region begins with one of its documents as pivot: those within distance 0.2 are one class with it. Regions
+whose documents then are of one class but for LISTED are listed. All others are divided, level by level, by documents: up
+to PIVOTS of a region, of different classes where there are such, are its pivots; every document measures its distance
 to each, and goes home to the Voronoi cell of the nearest one within the core radius. The distance is the Hamming distance
 of wide parity bitmaps, a pseudo-metric that never exceeds the symmetric difference of the sets; a document of n shingles
 links with none that is farther than its reach r = n / 4 (|x ^ y| <= (|x| + |y|) / 9 and |y| <= 5 |x| / 4). So, by the
 triangle inequality, a document is replicated as a guest to the cells of all pivots that are nearer than the core radius
 plus r and nearer than its nearest pivot plus 2 r, and no others; what lies outside every core is one more region, with
-pivots of its own at the next level. Linked documents meet in a cell at every level. A cell that did not shrink is compared
-in blocks. Pairs that pass the bounds are compared by the shingle sets themselves.
+pivots of its own at the next level. Linked documents meet in a cell at every level. A cell that did not shrink is listed
+too, in blocks. A list first takes each document's nearest candidates, and all pairs of classes that are still apart at the
+next level, so a family of near copies is joined without all its pairs. Pairs that pass the bounds are compared by the
+shingle sets themselves.
 
 Shingles and sets are known by 64-bit hashes. Exact copies are one node, so a group of copies of any size costs what one
 document costs after the first pass.
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import components, drop, fresh, parallelism, sifted, spread_join, stage, table
+from .shared import components, drop, fresh, hot_keys, parallelism, sifted, spread_join, stage, table
 
 WORDS = 5
 #: Similarity 80 / 100.
 PART, WHOLE = 80, 100
-SMALL = 24  # documents of a region, or outside its largest class, that are compared with the others one by one
-BLOCK = 512  # documents of a block of a larger region
+SMALL = 24  # documents of a region that lists its pairs at once
+LISTED = 256  # documents outside a region's largest class up to which it is listed, not divided
+NEAREST = 4  # candidates of a document that a list takes first
+BLOCK = 256  # documents of a block of a larger region
 PIVOTS = 16  # of a region that is divided
 CORE = 0.75  # radius of the cells, in shingles of the pivots
 SHRUNK = 0.7  # a cell with more of the documents of the region it comes from is compared in blocks
@@ -435,26 +439,37 @@ def _divide(group: pa.Table) -> pa.Table:
 
 
 def _list(group: pa.Table) -> pa.Table:
-    """Pairs of a block of documents outside a cell's main class with a block of all, of different classes and one at home, that the bounds leave."""
+    """Pairs of a block of documents outside a cell's main class with a block of all, of different classes and one at home, that
+    the bounds leave: each document's nearest ones, or all in the cell's second turn; a row with the cell alone, where there are more."""
     node, kind, n = (group.column(c).to_numpy() for c in ("node", "class", "n"))
     home, outer = _flags(group, "home"), _flags(group, "outer")
+    nearest = None if group.column("last")[0].as_py() else NEAREST
     width, by_width = _bitmaps(group)
     inner = {w: (rows[~outer[rows]], matrix[~outer[rows]]) for w, (rows, matrix) in by_width.items()}
-    left, right = [], []
+    left, right, more = [], [], False
     for k in np.flatnonzero(outer):
         own_rows, own = by_width[int(width[k])]
         own = own[np.searchsorted(own_rows, k)][None]
+        near, gaps = [], []
         for w, (rows, matrix) in inner.items():
             fits = (kind[rows] != kind[k]) & (home[rows] | home[k]) & (WHOLE * np.minimum(n[rows], n[k]) >= PART * np.maximum(n[rows], n[k]))
             if not fits.any():
                 continue
             size = min(w, int(width[k]))
             apart = np.bitwise_count(folded(matrix[fits], size) ^ folded(own, size)).sum(1)
-            near = rows[fits][apart <= most_apart(n[rows[fits]] + n[k])]
-            left.append(np.minimum(node[near], node[k]))
-            right.append(np.maximum(node[near], node[k]))
+            total = n[rows[fits]] + n[k]
+            within = apart <= most_apart(total)
+            near.append(rows[fits][within])
+            gaps.append((apart / total)[within])
+        if near:
+            found, gap = np.concatenate(near), np.concatenate(gaps)
+            more |= nearest is not None and len(found) > nearest
+            found = found[np.lexsort((node[found], gap))][:nearest]
+            left.append(np.minimum(node[found], node[k]))
+            right.append(np.maximum(node[found], node[k]))
     a, b = (np.concatenate(x) if x else node[:0] for x in (left, right))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    cell = [None] * len(a) + [group.column("cell")[0].as_py()] * more
+    return pa.table({"a": pa.array([*a, *[None] * more], pa.int64()), "b": pa.array([*b, *[None] * more], pa.int64()), "cell": pa.array(cell, pa.int64())})
 
 
 class Join:
@@ -466,7 +481,6 @@ class Join:
         told = self.docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
         self.first = stage(told.mapInArrow(_first_pass, "doc_id long, h long, node long, n long, bits binary, s long, c long"), "nodes")
         self.members = self.first.where("n is not null").select("doc_id", "h", "node", "n")
-        self.tested: list[DataFrame] = []
         self.used = [self.first]
         # Copies meet in partial aggregates, so one text of any share of the rows is one row of a task here.
         place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
@@ -474,10 +488,15 @@ class Join:
             self.first.where("node is not null").groupBy("node").agg(F.min(place).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "by-node"
         )
 
-    def keep(self, df: DataFrame, what: str) -> DataFrame:
-        self.used.append(stage(df, what))
+    def keep(self, df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
+        self.used.append(stage(df, what, compression))
         return self.used[-1]
 
+    def forget(self, *staged: DataFrame) -> None:
+        """Delete tables that nothing will read again."""
+        drop(*staged)
+        self.used = [x for x in self.used if not any(x is y for y in staged)]
+
     def regions(self) -> tuple[DataFrame, DataFrame]:
         """(a, b) of all small regions, and (cell, node, home, was) of the larger ones."""
         heavy, rank = frequent(self.first)
@@ -496,69 +515,117 @@ class Join:
         regions = self.keep(rows.join(once, "s"), "regions")
         listed = regions.where(F.col("m") <= SMALL).groupBy("s").agg(F.collect_list("node").alias("members"))  # at most SMALL
         pairs = met.where("a is not null").select("a", "b").union(listed.select("members").mapInArrow(_list_pairs, "a long, b long"))
-        larger = regions.where(F.col("m") > SMALL).select(F.col("s").alias("cell"), "node", F.lit(True).alias("home"), F.lit(1 << 60).alias("was"))
-        return pairs.distinct(), self.keep(larger, "cells")
+        larger = regions.where(F.col("m") > SMALL).select(F.col("s").alias("cell"), "node")
+        # One pivot a region: the least by hash, so that a family's regions agree on it.
+        least = larger.groupBy("cell").agg(F.min(F.struct(F.xxhash64(F.lit(3), "node").alias("h"), F.col("node").alias("pivot"))).alias("p")).select("cell", "p.pivot")
+        cells = self.keep(larger.join(least, "cell").select("cell", "node", F.lit(True).alias("home"), F.lit(1 << 60).alias("was"), "pivot"), "cells")
+        to_pivot = cells.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        pairs = self.keep(pairs.union(to_pivot).distinct(), "pairs")
+        self.forget(met, once, regions)
+        return pairs, cells
+
+    def hot(self, pairs: DataFrame) -> list:
+        """Nodes that are an end of more than a thousandth of the pairs."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        return hot_keys(ends.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "node")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and narrow bitmaps leave."""
         def side(c: str) -> DataFrame:
             return self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
 
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
-        return self.keep(both.mapInArrow(_near, "a long, b long"), "near")
+        many = self.hot(pairs)
+        both = spread_join(spread_join(pairs, side("a"), "a", many=many), side("b"), "b", many=many)
+        return self.keep(both.select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(_near, "a long, b long"), "near")
+
+    @staticmethod
+    def of(table: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Rows of a table of nodes that are wanted, and some others, by a sieve in the scan."""
+        named = table.withColumn("key", F.xxhash64("node"))
+        return sifted(named, nodes.select(F.xxhash64("node").alias("key")), "key", "maybe").where("maybe").drop("key", "maybe")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """node, n, found and wide of all ``wanted`` nodes and of some others, made anew from one document each.
 
-        Documents are sifted by their name in the scan, at every size; what the sieve lets through beside them does no harm.
+        Documents are sifted by their name in the scan, at every size. What the sieve lets through beside them, and a node
+        that several tasks made, does no harm: readers take one row a node.
         """
-        reps = self.nodes.join(wanted.distinct(), "node", "left_semi").select(F.xxhash64("rep.doc_id", "rep.h").alias("key"))
+        reps = self.keep(self.nodes.join(wanted.distinct(), "node", "left_semi").select(F.xxhash64("rep.doc_id", "rep.h").alias("key")), "reps")
         told = self.docs.withColumn("key", F.xxhash64("doc_id", F.xxhash64("text")))
-        found = sifted(told, self.keep(reps, "reps"), "key", "maybe").where("maybe")
-        made = found.select("text").mapInArrow(_sets, "node long, n long, found binary, wide binary")
-        return self.keep(made.groupBy("node").agg(F.first("n").alias("n"), F.first("found").alias("found"), F.first("wide").alias("wide")), "sets")
-
-    def test(self, near: DataFrame) -> None:
-        """Compare pairs (a, b) by their sets, and keep their sizes."""
-        x = self.sets.select(F.col("node").alias("a"), F.col("found").alias("fa"))
-        y = self.sets.select(F.col("node").alias("b"), F.col("found").alias("fb"))
-        both = spread_join(spread_join(near, x, "a"), y, "b", counted=near)
-        self.tested.append(self.keep(both.select("a", "b", "fa", "fb").mapInArrow(_compare, "a long, b long, inter long, uni long"), "tested"))
-
-    def classes(self) -> DataFrame:
-        """(node, component) of all nodes with a link."""
-        every = reduce(DataFrame.union, self.tested)
-        found = components(every.where(F.lit(WHOLE) * F.col("inter") >= F.lit(PART) * F.col("uni")).select("a", "b"))
-        self.used.append(found)
-        return found
+        found = sifted(told, reps, "key", "maybe").where("maybe")
+        made = self.keep(found.select("text").mapInArrow(_sets, "node long, n long, found binary, wide binary"), "sets", "uncompressed")
+        self.forget(reps)
+        return made
+
+    def test(self, near: DataFrame) -> DataFrame:
+        """Links among the pairs (a, b), by their sets."""
+        ends = near.select(F.explode(F.array("a", "b")).alias("node"))
+        sets = self.of(self.sets.select("node", "found"), ends).groupBy("node").agg(F.first("found").alias("found"))
+        many = self.hot(near)
+        x, y = sets.toDF("a", "fa"), sets.toDF("b", "fb")
+        both = spread_join(spread_join(near, x, "a", many=many), y, "b", many=many)
+        tested = both.select("a", "b", "fa", "fb").mapInArrow(_compare, "a long, b long, inter long, uni long")
+        return self.keep(tested.where(F.lit(WHOLE) * F.col("inter") >= F.lit(PART) * F.col("uni")).select("a", "b"), "links")
+
+    def merged(self, classes: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, component) after more links: only classes that were apart are joined, so the graph is small."""
+        def end(c: str) -> DataFrame:
+            return classes.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+
+        many = self.hot(links)
+        ends = spread_join(spread_join(links, end("a"), "a", "left", many=many), end("b"), "b", "left", many=many)
+        apart = self.keep(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct(), "apart")
+        if apart.isEmpty():
+            return classes
+        joined = components(apart)
+        to = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        moved = spread_join(classes, to, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+        new = joined.join(classes, "node", "left_anti").select("node", "component")
+        out = self.keep(moved.union(new), "classes")
+        self.forget(apart)
+        drop(joined)
+        return out
 
     def run(self) -> DataFrame:
         """(node, component) of all nodes with a link, after all regions."""
         pairs, cells = self.regions()
         near = self.bounded(pairs)
-        ends = near.select(F.col("a").alias("node")).union(near.select("b"))
+        ends = near.select(F.explode(F.array("a", "b")).alias("node"))
         self.sets = self.sets_of(ends.union(cells.select("node")))
-        self.test(near)
-        classes = self.classes()
+        links = self.test(near)
+        classes = components(links)
+        self.used.append(classes)
+        self.forget(pairs, near, links)
         level = 0
+        if not cells.isEmpty():
+            rows = self.of(self.sets.select("node", "n", "wide"), cells.select("node"))
+            self.wide = self.keep(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("wide")), "wide", "uncompressed")
+        cells = cells.drop("pivot")
         while not cells.isEmpty():
             level += 1
+            before = list(self.used)
             pairs, cells = self.step(cells, classes, level)
-            self.test(pairs)
-            classes = self.classes()
+            if not pairs.isEmpty():
+                classes = self.merged(classes, self.test(pairs))
+            self.forget(*[x for x in self.used if x is not cells and x is not classes and not any(x is y for y in before)])
         return classes
 
     def step(self, cells: DataFrame, classes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """Pairs to compare, and the cells of the regions that were divided."""
-        at = self.keep(cells.join(classes, "node", "left").select(*cells.columns, F.coalesce("component", "node").alias("class")), "at")
+        """Pairs to compare, and the cells that are left: those of the regions that were divided, and lists' second turns.
+
+        was: the documents of the region a cell comes from; 0: it is to be listed; -1: it had its first turn.
+        """
+        of_node = classes.select("node", "component")
+        at = self.keep(cells.join(of_node, "node", "left").select("cell", "node", "home", "was", F.coalesce("component", "node").alias("class")), "at")
         counts = at.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("k"), F.max("was").alias("was"))
         sizes = counts.groupBy("cell").agg(F.max(F.struct("k", "class")).alias("most"), F.count(F.lit(1)).alias("classes"), F.sum("k").alias("m"), F.max("was").alias("was"))
         out = F.col("m") - F.col("most.k")
-        main = self.keep(
-            sizes.where("classes > 1").select("cell", F.col("most.class").alias("main"), "m", out.alias("out"), ((out <= SMALL) | (F.col("m") > SHRUNK * F.col("was"))).alias("listed")), "main"
+        main = sizes.where("classes > 1").select(
+            "cell", F.col("most.class").alias("main"), "m", out.alias("out"), ((out <= LISTED) | (F.col("m") > SHRUNK * F.col("was"))).alias("listed"),
+            ((out <= SMALL) | (F.col("was") == -1)).alias("last"),
         )
-        live = self.keep(at.drop("was").join(main, "cell"), "live")
-        rows = live.join(self.sets.select("node", "n", "wide"), "node")
+        live = self.keep(spread_join(at.drop("was"), main, "cell"), "live")
+        rows = live.join(self.wide, "node")
 
         def blocks(c: str) -> Column:
             return F.ceil(F.col(c) / BLOCK).cast("int")
@@ -567,11 +634,17 @@ class Join:
             return F.pmod(F.xxhash64(F.lit(9), "node"), blocks(c)).cast("int")
 
         member = ["cell", "m", "node", "class", "home", "n", "wide"]
-        listed = rows.where("listed")
+        listed = rows.where("listed").select(*member, "main", "out", "last")
         outer = listed.where(F.col("class") != F.col("main")).select(
-            *member, own("out").alias("i"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("j"), F.lit(True).alias("outer"))
-        every = listed.select(*member, F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("i"), own("m").alias("j"), F.lit(False).alias("outer"))
-        compared = outer.unionByName(every).groupBy("cell", "i", "j").applyInArrow(_list, "a long, b long")
+            *member, "last", own("out").alias("i"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("j"), F.lit(True).alias("outer"))
+        every = listed.select(*member, "last", F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("i"), own("m").alias("j"), F.lit(False).alias("outer"))
+        compared = self.keep(outer.unionByName(every).groupBy("cell", "i", "j").applyInArrow(_list, "a long, b long, cell long"), "compared")
+        more = compared.where("cell is not null").groupBy("cell").agg(F.lit(1).alias("more"))
+        again = spread_join(live.where("listed").select("cell", "node", "home", F.lit(-1).cast("long").alias("was")), more, "cell").drop("more")
+        compared = compared.where("a is not null").select("a", "b")
+        if live.where("not listed").isEmpty():
+            pairs, left = self.keep(compared.distinct(), "pairs"), self.keep(again, "cells")
+            return pairs, left
 
         larger = rows.where("not listed")
         least = F.min(F.struct(F.xxhash64(F.lit(level), "node").alias("h"), *member[1:]))
@@ -584,10 +657,14 @@ class Join:
         pairs = self.keep(compared.union(divided.where("a is not null").select("a", "b")).distinct(), "pairs")
         parts = divided.where("cell is not null")
         # Where the windows hold nearly everything, dividing gains nothing: the region is listed at the next level.
-        vain = parts.groupBy("parent").agg(F.count(F.lit(1)).alias("rows"), F.max("was").alias("m")).where(F.col("rows") > COPIES * F.col("m")).select("parent")
-        vain = self.keep(vain, "vain")
-        whole = live.where("not listed").join(vain, F.col("cell") == F.col("parent"), "left_semi").select("cell", "node", "home", F.lit(0).cast("long").alias("was"))
-        return pairs, self.keep(parts.join(vain, "parent", "left_anti").select("cell", "node", "home", "was").union(whole), "cells")
+        vain = self.keep(
+            parts.groupBy("parent").agg(F.count(F.lit(1)).alias("rows"), F.max("was").alias("m")).where(F.col("rows") > COPIES * F.col("m")).select("parent", F.lit(True).alias("vain")), "vain"
+        )
+        whole = spread_join(live.where("not listed").select(F.col("cell").alias("parent"), "node", "home"), vain, "parent").select(F.col("parent").alias("cell"), "node", "home", F.lit(0).cast("long").alias("was"))
+        cut = spread_join(parts.select("parent", "cell", "node", "home", "was"), vain, "parent", "left").where("vain is null").select("cell", "node", "home", "was")
+        left = self.keep(again.union(whole).union(cut), "cells")
+        self.forget(divided, vain)
+        return pairs, left
 
 
 def join_documents(documents: DataFrame) -> DataFrame:

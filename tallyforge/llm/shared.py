@@ -102,27 +102,39 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str, flag: str) -> DataFrame
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", same: Column | None = None, hot: DataFrame | None = None, counted: DataFrame | None = None, ways: int = 32
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", same: Column | None = None, hot: DataFrame | None = None, counted: DataFrame | None = None, ways: int = 32, many: list | None = None
 ) -> DataFrame:
     """Join on ``key`` (and ``same``) in which a key with more than a thousandth of the left rows is dealt to ``ways`` tasks.
 
     Right rows of such keys are copied, so there should be few a key. At most a thousand keys are hot, whatever the size.
     A left join deals null keys out as well. hot: (key, number of rows) where these are known; counted: rows to count
-    instead of ``left``. Columns other than the key must differ in name; the right key is dropped.
+    instead of ``left``; many: the hot keys themselves, from ``hot_keys``. Columns other than the key must differ in name;
+    the right key is dropped.
     """
-    counts = hot.toDF(key, "m") if hot is not None else (counted if counted is not None else left).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("m"))
-    total = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    many = [r[0] for r in counts.where(F.col("m") > max(1000, total // 1000)).select(key).collect()]
+    if many is None:
+        counts = hot.toDF(key, "m") if hot is not None else (counted if counted is not None else left).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("m"))
+        many = hot_keys(counts, key)
     salt = fresh([*left.columns, *right.columns], "salt")
     other = fresh([*left.columns, *right.columns, salt], "to")
-    is_hot = F.col(key).isin(many) if many else F.lit(False)
-    dealt = left.withColumn(salt, F.when(is_hot | F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(ways)).cast("int")).otherwise(0))
-    copied = right.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
-    copied = copied.withColumnsRenamed({key: other, salt: f"{other}_{salt}"})
-    on = (F.col(key) == F.col(other)) & (F.col(salt) == F.col(f"{other}_{salt}"))
+    right = right.withColumnRenamed(key, other)
+    on = F.col(key) == F.col(other)
+    if not many and how == "inner":
+        return left.join(right, on if same is None else on & same, how).drop(other)
+    dealt_out = F.col(key).isin(many) if many else F.lit(False)
+    copied_to = F.col(other).isin(many) if many else F.lit(False)
+    dealt = left.withColumn(salt, F.when(dealt_out | F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(ways)).cast("int")).otherwise(0))
+    copied = right.withColumn(f"{other}_{salt}", F.explode(F.when(copied_to, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
+    on = on & (F.col(salt) == F.col(f"{other}_{salt}"))
     return dealt.join(copied, on if same is None else on & same, how).drop(salt, other, f"{other}_{salt}")
 
 
+def hot_keys(counts: DataFrame, key: str) -> list:
+    """Keys of (key, m) with more than 1,000 rows and a thousandth of all; a thousand at most."""
+    many = counts.where(F.col("m") > 1000)
+    top = many.crossJoin(counts.agg(F.sum("m").alias("_all"))).where(F.col("m") > F.col("_all") / 1000)  # one row
+    return [r[0] for r in top.select(key).collect()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
