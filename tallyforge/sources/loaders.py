@@ -59,20 +59,20 @@ def read_jdbc(spark: SparkSession, url: str, table: str, weight: str | None = No
     return df
 
 
+KINDS = ("parquet", "orc", "json", "csv")
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_tables(spark: SparkSession, folder: str, schema: Schema) -> dict[str, DataFrame]:
-    """All tables of a schema, from ``folder/table.parquet`` or ``.csv``."""
+    """All tables of a schema, from ``folder/table.parquet``, ``.orc``, ``.json`` or ``.csv``, the first that is there."""
     if len(schema.tables) == 1 and "." in os.path.basename(folder.rstrip("/")):
         (table,) = schema.tables.values()
         return {table.name: read_table(spark, folder, table)}
-    out = {}
-    for t in schema.tables.values():
-        try:
-            out[t.name] = read_table(spark, f"{folder}/{t.name}.parquet", t)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            out[t.name] = read_table(spark, f"{folder}/{t.name}.csv", t)
-    return out
+    return {t.name: read_table(spark, next((p for p in (f"{folder}/{t.name}.{kind}" for kind in KINDS) if there(spark, p)), f"{folder}/{t.name}.parquet"), t) for t in schema.tables.values()}
 
 
 BENCHMARK = "true_cardinality long, sql string"
@@ -84,6 +84,15 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("true_cardinality", F.col("true_cardinality").cast("long"))
 
 
+def read_subqueries(spark: SparkSession, path: str) -> DataFrame:
+    """name, node, true_cardinality, sql of sub-queries, from a CSV or a JSON file; node: the tables, joined by commas."""
+    df = spark.read.json(path) if path.rstrip("/").endswith(".json") else read_benchmark(spark, path)
+    missing = {"name", "node", "true_cardinality", "sql"} - set(df.columns)
+    if missing:
+        raise ValueError(f"{path} has no {', '.join(sorted(missing))}")
+    return df.select(F.col("name").cast("string"), "node", F.col("true_cardinality").cast("long"), "sql")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p.suffix("/_SUCCESS")) or p.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(p)
