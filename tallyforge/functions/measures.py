@@ -43,6 +43,16 @@ def report(df: DataFrame, error: str, elapsed: str | None = None) -> DataFrame:
     return df.agg(*cols, *([F.avg(elapsed).alias("mean_ms")] if elapsed else []))
 
 
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """min, median and max of a column, for summaries."""
+    return df.agg(F.min(column).alias("min"), F.percentile(column, F.lit(0.5)).alias("median"), F.max(column).alias("max"))
+
+
+def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """One row: mean of ``value`` weighted by ``weight`` (a loss by the rows of its batch); null without rows."""
+    return df.agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"))
+
+
 def entropy(df: DataFrame, column: str, base: float = 2.0) -> DataFrame:
     """Shannon entropy of a column's values, nulls included as one value."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("n"))

@@ -75,8 +75,35 @@ def conjunction(predicates: Iterable[Predicate], column: Callable[[Predicate], C
     return reduce(lambda a, b: a & b, (condition(p, column(p)) for p in predicates), F.lit(True))
 
 
+def merged(predicates: Iterable[Predicate], strict: bool = False) -> list[Predicate]:
+    """The IN lists of a column as one: what they have in common; what its NOT IN lists name goes from it, or else into one
+    list. LIKE patterns stay: they are evaluated on the dictionary. strict: a column with lists or patterns may not have a
+    range beside them (ValueError)."""
+    out: list[Predicate] = []
+    by: dict[str, list[Predicate]] = {}
+    for p in predicates:
+        by.setdefault(p.name, []).append(p)
+    for c, ps in by.items():
+        sets, ranges = [p for p in ps if p.op in SETLIKE], [p for p in ps if p.op in RANGES]
+        if strict and sets and ranges:
+            raise ValueError(f"{c} has both {sets[0].op} and {ranges[0].op}")
+        lists, without = [p for p in ps if p.op == "IN"], [p for p in ps if p.op == "NOT IN"]
+        barred = list(dict.fromkeys(v for p in without for v in p.value))
+        if len(lists) + len(without) < 2:
+            out += ps
+            continue
+        if lists:
+            kept = [v for v in dict.fromkeys(lists[0].value) if all(v in p.value for p in lists[1:]) and v not in barred]
+            out.append(Predicate(lists[0].table, lists[0].column, "IN", tuple(kept)))
+        elif without:
+            out.append(Predicate(without[0].table, without[0].column, "NOT IN", tuple(barred)))
+        out += [p for p in ps if p.op not in ("IN", "NOT IN")]
+    return out
+
+
 def normalize(predicates: Iterable[Predicate]) -> list[Predicate]:
-    """One form for each meaning: BETWEEN becomes two bounds, comparisons with NULL become IS; repeated ones go."""
+    """One form for each meaning: BETWEEN becomes two bounds, comparisons with NULL become IS, a column's lists become one;
+    repeated ones go."""
     out: list[Predicate] = []
     for p in predicates:
         if p.op == "BETWEEN":
@@ -86,7 +113,7 @@ def normalize(predicates: Iterable[Predicate]) -> list[Predicate]:
         else:
             made = [p]
         out += [m for m in made if m not in out]
-    return out
+    return merged(out)
 
 
 def split_by_tables(predicates: Iterable[Predicate], tables: Iterable[str]) -> tuple[list[Predicate], list[Predicate]]:

@@ -50,6 +50,7 @@ class Config:
     epochs: int = 3
     batch: int = 1024
     seed: int = 1234
+    continuous: list[int] = field(default_factory=list)  # columns that hold a number above 0, such as the log of a fanout; 0 is unknown
 
     def __post_init__(self) -> None:
         if (self.lr is None) == (self.warmups is None):
@@ -76,6 +77,10 @@ class Model:
             p[f"{name}.b"] = np.zeros(b, np.float32)
 
         for i, size in enumerate(config.domains):
+            if i in config.continuous:
+                p[f"num{i}"], p[f"dec{i}"] = (rng.normal(0, 0.02, (2, d)).astype(np.float32), rng.normal(0, 0.02, d).astype(np.float32))
+                p[f"bias{i}"] = np.zeros(1, np.float32)
+                continue
             p[f"emb{i}"] = rng.normal(0, 0.02, (size, d)).astype(np.float32)
             p[f"emb{i}"][0] = 0  # unknown
             p[f"bias{i}"] = np.zeros(size, np.float32)
@@ -97,8 +102,16 @@ class Model:
 
     # ---- networks: each returns the output and a function from its gradient to the input's -----------------------
 
+    @staticmethod
+    def _number(x: Array) -> Array:
+        """A continuous column's input: whether it is known, and its value."""
+        return np.stack([x != 0, x], 1).astype(np.float32)
+
     def _embed(self, codes: Array) -> Array:
-        return np.stack([self.params[f"emb{i}"][codes[:, i]] for i in range(codes.shape[1])], 1)
+        numbers = set(self.config.continuous)
+        return np.stack([
+            self._number(codes[:, i]) @ self.params[f"num{i}"] if i in numbers else self.params[f"emb{i}"][codes[:, i].astype(np.int64)] for i in range(codes.shape[1])
+        ], 1)
 
     def _network(self, codes: Array) -> tuple[Array, Callable[[Array, Params], Array]]:
         x = self._embed(codes)
@@ -206,8 +219,13 @@ class Model:
         z[:, 0] = -np.inf
         return softmax(z)
 
+    def number(self, codes: Array, column: int) -> Array:
+        """Expected value of a continuous column given each row's known codes."""
+        out, _ = self._network(codes)
+        return out[:, column] @ self.params[f"dec{column}"] + self.params[f"bias{column}"][0]
+
     def loss(self, codes: Array, hidden: Array) -> tuple[float, Params]:
-        """Mean cross-entropy of the hidden columns, and its gradients."""
+        """Mean cross-entropy of the hidden columns, or squared error of continuous ones, and its gradients."""
         seen = np.where(hidden, 0, codes)
         out, back = self._network(seen)
         grads: Params = {}
@@ -215,6 +233,14 @@ class Model:
         total, count = 0.0, max(1, int(hidden.sum()))
         for i in range(codes.shape[1]):
             rows = np.flatnonzero(hidden[:, i])
+            if i in self.config.continuous:
+                w = self.params[f"dec{i}"]
+                off = out[rows, i] @ w + self.params[f"bias{i}"][0] - codes[rows, i]
+                total += float((off**2).sum())
+                slope = (2 * off / count).astype(np.float32)
+                g[rows, i] = slope[:, None] * w
+                grads[f"dec{i}"], grads[f"bias{i}"] = slope @ out[rows, i], np.array([slope.sum()], np.float32)
+                continue
             e = self.params[f"emb{i}"]
             if not len(rows):
                 grads[f"emb{i}"], grads[f"bias{i}"] = np.zeros_like(e), np.zeros(len(e), np.float32)
@@ -222,7 +248,7 @@ class Model:
             z = out[rows, i] @ e.T + self.params[f"bias{i}"]
             z[:, 0] = -1e9
             p = softmax(z)
-            at = codes[rows, i]
+            at = codes[rows, i].astype(np.int64)
             total -= float(np.log(np.maximum(p[np.arange(len(rows)), at], 1e-12)).sum())
             p[np.arange(len(rows)), at] -= 1
             p /= count
@@ -230,7 +256,10 @@ class Model:
             grads[f"emb{i}"], grads[f"bias{i}"] = p.T @ out[rows, i], p.sum(0)
         gx = back(g, grads)
         for i in range(codes.shape[1]):
-            np.add.at(grads[f"emb{i}"], seen[:, i], gx[:, i])
+            if i in self.config.continuous:
+                grads[f"num{i}"] = self._number(seen[:, i]).T @ gx[:, i]
+                continue
+            np.add.at(grads[f"emb{i}"], seen[:, i].astype(np.int64), gx[:, i])
             grads[f"emb{i}"][0] = 0
         return total / count, grads
 
@@ -256,10 +285,10 @@ def rate(config: Config, step: int) -> float:
     return config.d_word**-0.5 * min(step**-0.5, step * config.warmups**-1.5)
 
 
-def train(codes: Array, config: Config) -> tuple[Model, list[float]]:
-    """A model and its validation loss after each epoch, by Adam. No rows give the untrained model."""
+def train(codes: Array, config: Config, each: Callable[[int, Model, float], None] | None = None) -> tuple[Model, list[float]]:
+    """A model and its validation loss after each epoch, by Adam. No rows give the untrained model. each: is told of every epoch."""
     model = Model.new(config)
-    rows, held = split(np.asarray(codes, np.int64), config.seed)
+    rows, held = split(np.asarray(codes, np.float64 if config.continuous else np.int64), config.seed)
     rng = np.random.default_rng(config.seed + 1)
     m = {k: np.zeros_like(v) for k, v in model.params.items()}
     v = {k: np.zeros_like(x) for k, x in model.params.items()}
@@ -275,12 +304,16 @@ def train(codes: Array, config: Config) -> tuple[Model, list[float]]:
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 model.params[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         history.append(validate(model, held, config) if len(held) else float("nan"))
+        if each:
+            each(len(history), model, history[-1])
     return model, history
 
 
 def validate(model: Model, held: Array, config: Config) -> float:
     """Mean loss over batches, weighted by their rows, under masks that are the same every time."""
     rng = np.random.default_rng(config.seed + 2)
+    if not len(held):
+        return float("nan")
     losses = [(model.loss(part, masks(rng, *part.shape))[0], len(part)) for part in (held[lo : lo + config.batch] for lo in range(0, len(held), config.batch))]
     return sum(a * n for a, n in losses) / sum(n for _, n in losses)
 
@@ -311,15 +344,19 @@ def progressive(model: Model, allowed: list[tuple[int, Array]], samples: int, rn
     allowed: (column, mask over its codes, or a function of the sampled codes that gives one a sample), in the order of
     conditioning. scales: for a column, a number by code that each sample's estimate is multiplied by.
     """
-    codes = np.zeros((samples, len(model.config.domains)), np.int64)
+    codes = np.zeros((samples, len(model.config.domains)), np.float64 if model.config.continuous else np.int64)
     return walk(model, codes, allowed, rng, scales)
 
 
 def walk(model: Model, codes: Array, allowed: list[tuple[int, Array]], rng: np.random.Generator, scales: dict[int, Array] | None = None) -> Array:
-    """``progressive`` from samples whose known columns are set already; fills in the columns it conditions on."""
+    """``progressive`` from samples whose known columns are set already; fills in the columns it conditions on. A continuous
+    column (its mask is None) takes its expected value."""
     samples = len(codes)
     p = np.ones(samples)
     for column, mask in allowed:
+        if column in model.config.continuous:
+            codes[:, column] = np.maximum(model.number(codes, column), 1e-6)
+            continue
         ok = mask(codes) if callable(mask) else np.broadcast_to(mask, (samples, len(mask)))
         dist = model.predict(codes, column) * ok
         mass = dist.sum(1)
@@ -330,5 +367,5 @@ def walk(model: Model, codes: Array, allowed: list[tuple[int, Array]], rng: np.r
         drawn = (running < (rng.random(samples) * running[:, -1])[:, None]).sum(1)
         codes[:, column] = np.minimum(drawn, dist.shape[1] - 1)
         if scales and column in scales:
-            p *= scales[column][codes[:, column]]
+            p *= scales[column][codes[:, column].astype(np.int64)]
     return p

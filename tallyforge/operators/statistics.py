@@ -6,6 +6,7 @@ is one aggregation by key, partial before its shuffle. Products are decimals of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -147,6 +148,18 @@ def count_by_messages(tables: Tables, edges: Iterable[FkDef], root: str) -> Data
     return rows(root, None).agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("long").alias("cnt"))
 
 
+def drop_like(df: DataFrame, pattern: str) -> DataFrame:
+    """Without the columns whose names hold a match of a regular expression."""
+    return df.select(*[name(c) for c in df.columns if not re.search(pattern, c)])
+
+
+def filled(df: DataFrame) -> DataFrame:
+    """(col, n): non-null values of every column, in one pass; columns of codes must all have as many as there are rows."""
+    counts = df.agg(*[F.count(name(c)).alias(f"n{k}") for k, c in enumerate(df.columns)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"n{k}").alias("n")) for k, c in enumerate(df.columns)])
+    return counts.select(F.explode(pairs).alias("p")).select("p.*")
+
+
 def conditional_weights(df: DataFrame, fk: str, weight: str) -> DataFrame:
     """Each row's share of its key's weight; rows with null keys drop out. Sums are joined back, so a hot key is no single window."""
     rows = df.where(name(fk).isNotNull())

@@ -65,9 +65,13 @@ class Database:
         return [j for j in q.joins if {j[0][0], j[1][0]} - {table} and {j[0][0], j[1][0]} - {table} <= done and table in (j[0][0], j[1][0])]
 
     def count_messages(self, query: SpjQuery | str) -> DataFrame:
-        """COUNT(*) of a query over declared keys that form a tree, from sums by key, without the join. One row: cnt."""
+        """COUNT(*) of a query over declared keys that form a tree, from sums by key, without the join. One row: cnt.
+
+        Two columns that refer to one key are joined through its table, which holds each key once: that leaves the count as
+        it is where no key dangles. Other tables in between would change it.
+        """
         b = self.bind(query)
-        if b.added:
+        if any(sum(t == e.parent for e in b.edges) < 2 or any(t == e.child for e in b.edges) for t in b.added):
             raise SchemaError("a table that is not in the query would change the count")
         tables = {t: self.filtered(t, b.predicates) for t in b.tables}
         return count_by_messages(tables, b.edges, b.tables[0])
@@ -92,19 +96,27 @@ class Database:
                 raise SchemaError(f"{left} = {right} is no declared key")
             for e in through:
                 edges.append(e)
-                if e.parent not in tables:
-                    tables.append(e.parent)
-                    added.append(e.parent)
+                for t in (e.parent, e.child):
+                    if t not in tables:
+                        tables.append(t)
+                        added.append(t)
         edges = list(dict.fromkeys(edges))
         if not is_tree(tables, edges):
             raise SchemaError("the query's joins are no tree")
         return Bound(tuple(tables), tuple(edges), tuple(normalize(q.predicates)), tuple(added))
 
     def _through(self, left: tuple[str, str], right: tuple[str, str]) -> list[FkDef]:
+        """Keys that join two columns through other tables, over the shortest path on which one value is handed on: every
+        edge of a path takes the column that the edge before it gave, so both columns hold keys of one table in the end."""
         for path in self.schema.paths(left[0], right[0]):
-            if len(path) == 3:
-                a = next((e for e in self.schema.edges_between(path[0], path[1]) if (e.child, e.fk) == left), None)
-                b = next((e for e in self.schema.edges_between(path[1], path[2]) if (e.child, e.fk) == right), None)
-                if a and b and a.pk == b.pk:
-                    return [a, b]
+            edges, column = [], left[1]
+            for a, b in zip(path, path[1:], strict=False):
+                e = next((e for e in self.schema.edges_between(a, b) if e.column_of(a) == column), None)
+                if e is None:
+                    break
+                edges.append(e)
+                column = e.column_of(b)
+            else:
+                if len(edges) > 1 and column == right[1]:
+                    return edges
         return []

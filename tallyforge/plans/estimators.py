@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import Predicate, conjunction
 from ..operators.graph import FkDef, SubSchema, adjacency
 from ..operators.sampling import sample_join
-from ..operators.statistics import away, full_outer_join, name, reachable_size
+from ..operators.statistics import away, fk_value_counts, full_outer_join, name, reachable_size
 from .database import Bound, Database
 
 
@@ -131,7 +131,7 @@ def neighbourhood_exact(db: Database, query: str) -> DataFrame:
     """
     b = db.bind(query)
     if not b.edges:
-        return db.count(query)
+        return _one_table_exact(db, b)
     near = adjacency(b.edges)
 
     def chained(center_via: tuple[str, FkDef | None]) -> DataFrame:
@@ -162,6 +162,24 @@ def neighbourhood_exact(db: Database, query: str) -> DataFrame:
     return chained((root, None)).agg(F.coalesce(F.round(F.sum("__p__")), F.lit(0.0)).cast("long").alias("cnt"))
 
 
+def _one_table_exact(db: Database, b: Bound) -> DataFrame:
+    """One table through the smallest neighbourhood that has it: each of its rows stands there once for every referring row,
+    and is divided by that fanout. A table that no key names is counted as it is."""
+    plan = neighbourhood_plan(db, b)
+    (table,) = b.tables
+    if not plan:
+        return db.filtered(table, b.predicates).agg(F.count(F.lit(1)).alias("cnt"))
+    sub = plan[0].sub
+    rows = full_outer_join(db.tables, sub.edges, sub.center).where(qualifies(b))
+    share = F.lit(1.0)
+    if table != sub.center:
+        e = next(e for e in sub.edges if e.parent == table)
+        fan = fk_value_counts(db.tables[sub.center], e.fk).toDF("_key", "_n")
+        rows = rows.join(fan, name(f"{table}.{e.pk}") == F.col("_key"), "left")
+        share = 1 / F.coalesce("_n", F.lit(1)).cast("double")
+    return rows.agg(F.coalesce(F.round(F.sum(share)), F.lit(0.0)).cast("long").alias("cnt"))
+
+
 def neighbourhood_sampled(db: Database, query: str, n: int = 100_000, seed: int = 1234) -> DataFrame:
     """As the exact form, with every share taken from a join sample of its neighbourhood. One row: estimate.
 
@@ -203,25 +221,32 @@ def neighbourhood_sampled(db: Database, query: str, n: int = 100_000, seed: int
     return held.agg(F.ceil(F.coalesce(F.avg("__p__"), F.lit(0.0)) * F.lit(float(size))).cast("long").alias("estimate"))
 
 
+ORDERS = ("prop", "prop-inv", "prop-ratio", "domain-size", "nat", "inv")
+
+
+def ordered(counts: dict[str, tuple[int, int]], order: str, natural: list[str]) -> list[str]:
+    """Columns with (matching values, size of the domain) in the order an estimator conditions on them: by matching values
+    (prop), by the reverse, by their share of the domain (prop-ratio), by domain size, by nature (position), or the reverse."""
+    place = {c: k for k, c in enumerate(natural)}
+    keys = {
+        "prop": lambda c: counts[c][0], "prop-inv": lambda c: -counts[c][0], "prop-ratio": lambda c: counts[c][0] / max(1, counts[c][1]), "domain-size": lambda c: counts[c][1],
+        "nat": lambda c: place.get(c, len(place)), "inv": lambda c: -place.get(c, len(place)),
+    }
+    if order not in keys:
+        raise ValueError(f"unknown order {order}; known: {', '.join(ORDERS)}")
+    return sorted(counts, key=lambda c: (keys[order](c), place.get(c, len(place)), c))
+
+
 def predicate_order(db: Database, predicates: list[Predicate], order: str = "prop-ratio", schema_order: list[str] | None = None) -> list[str]:
-    """Columns in the order an estimator conditions on them: by matching values (prop), by the reverse, by their share
-    of the domain (prop-ratio), by domain size, by nature (position), or the reverse. One small aggregation a column."""
+    """``ordered`` for the predicates' columns, over the tables themselves: one small aggregation a column, where the order needs it."""
     by: dict[str, list[Predicate]] = {}
     for p in predicates:
         by.setdefault(p.name, []).append(p)
     natural = schema_order or [f"{t.name}.{c}" for t in db.schema.tables.values() for c in t.columns]
-    place = {c: k for k, c in enumerate(natural)}
-    if order in ("nat", "inv"):
-        return sorted(by, key=lambda c: place.get(c, len(place)), reverse=order == "inv")
-    found = {}
-    for c, ps in by.items():
+    found = dict.fromkeys(by, (0, 0))
+    for c, ps in by.items() if order not in ("nat", "inv") else ():
         values = db.tables[ps[0].table].select(name(ps[0].column)).distinct()
         ok = conjunction(ps, lambda p: name(p.column))
         r = values.agg(F.count_if(F.coalesce(ok, F.lit(False))).alias("m"), F.count(name(ps[0].column)).alias("d")).first()
         found[c] = (int(r.m), int(r.d) + 2)
-    keys = {"prop": lambda c: found[c][0], "prop-inv": lambda c: -found[c][0], "prop-ratio": lambda c: found[c][0] / found[c][1], "domain-size": lambda c: found[c][1]}
-    if order not in keys:
-        raise ValueError(f"unknown order {order}")
-    return sorted(by, key=lambda c: (keys[order](c), place.get(c, len(place)), c))
-
-
+    return ordered(found, order, natural)
