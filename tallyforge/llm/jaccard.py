@@ -350,7 +350,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("found", pa.binary()), ("wide", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("found", pa.binary()), ("bits", pa.binary()), ("wide", pa.binary())])
     bpe.forget()
     seen: set[int] = set()
     for batch in batches:
@@ -360,7 +360,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = shingles(text)
                 if len(x) and (node := node_of(x)) not in seen:
                     seen.add(node)
-                    rows.append((node, len(x), x.tobytes(), bitmap(x, WIDE)))
+                    rows.append((node, len(x), x.tobytes(), bitmap(x), bitmap(x, WIDE)))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
@@ -527,7 +527,8 @@ class Join:
     def hot(self, pairs: DataFrame) -> list:
         """Nodes that are an end of more than a thousandth of the pairs."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        return hot_keys(ends.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "node")
+        total = pairs.count()
+        return hot_keys(ends.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "node", total) if total > 1000 else []
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and narrow bitmaps leave."""
@@ -545,7 +546,7 @@ class Join:
         return sifted(named, nodes.select(F.xxhash64("node").alias("key")), "key", "maybe").where("maybe").drop("key", "maybe")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """node, n, found and wide of all ``wanted`` nodes and of some others, made anew from one document each.
+        """node, n, found, bits and wide of all ``wanted`` nodes and of some others, made anew from one document each.
 
         Documents are sifted by their name in the scan, at every size. What the sieve lets through beside them, and a node
         that several tasks made, does no harm: readers take one row a node.
@@ -553,33 +554,31 @@ class Join:
         reps = self.keep(self.nodes.join(wanted.distinct(), "node", "left_semi").select(F.xxhash64("rep.doc_id", "rep.h").alias("key")), "reps")
         told = self.docs.withColumn("key", F.xxhash64("doc_id", F.xxhash64("text")))
         found = sifted(told, reps, "key", "maybe").where("maybe")
-        made = self.keep(found.select("text").mapInArrow(_sets, "node long, n long, found binary, wide binary"), "sets", "uncompressed")
+        made = self.keep(found.select("text").mapInArrow(_sets, "node long, n long, found binary, bits binary, wide binary"), "sets", "uncompressed")
         self.forget(reps)
         return made
 
-    def test(self, near: DataFrame) -> DataFrame:
-        """Links among the pairs (a, b), by their sets."""
+    def test(self, near: DataFrame, many: list) -> DataFrame:
+        """Links among the pairs (a, b), by their sets. many: the hot ends."""
         ends = near.select(F.explode(F.array("a", "b")).alias("node"))
         sets = self.of(self.sets.select("node", "found"), ends).groupBy("node").agg(F.first("found").alias("found"))
-        many = self.hot(near)
         x, y = sets.toDF("a", "fa"), sets.toDF("b", "fb")
         both = spread_join(spread_join(near, x, "a", many=many), y, "b", many=many)
         tested = both.select("a", "b", "fa", "fb").mapInArrow(_compare, "a long, b long, inter long, uni long")
         return self.keep(tested.where(F.lit(WHOLE) * F.col("inter") >= F.lit(PART) * F.col("uni")).select("a", "b"), "links")
 
-    def merged(self, classes: DataFrame, links: DataFrame) -> DataFrame:
+    def merged(self, classes: DataFrame, links: DataFrame, many: list) -> DataFrame:
         """(node, component) after more links: only classes that were apart are joined, so the graph is small."""
         def end(c: str) -> DataFrame:
             return classes.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
 
-        many = self.hot(links)
         ends = spread_join(spread_join(links, end("a"), "a", "left", many=many), end("b"), "b", "left", many=many)
         apart = self.keep(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct(), "apart")
         if apart.isEmpty():
             return classes
         joined = components(apart)
         to = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
-        moved = spread_join(classes, to, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+        moved = classes.join(to, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
         new = joined.join(classes, "node", "left_anti").select("node", "component")
         out = self.keep(moved.union(new), "classes")
         self.forget(apart)
@@ -592,21 +591,22 @@ class Join:
         near = self.bounded(pairs)
         ends = near.select(F.explode(F.array("a", "b")).alias("node"))
         self.sets = self.sets_of(ends.union(cells.select("node")))
-        links = self.test(near)
+        links = self.test(near, self.hot(near))
         classes = components(links)
         self.used.append(classes)
         self.forget(pairs, near, links)
         level = 0
         if not cells.isEmpty():
-            rows = self.of(self.sets.select("node", "n", "wide"), cells.select("node"))
-            self.wide = self.keep(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("wide")), "wide", "uncompressed")
+            rows = self.of(self.sets.select("node", "n", "bits", "wide"), cells.select("node"))
+            self.wide = self.keep(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bits", "wide")]), "wide", "uncompressed")
         cells = cells.drop("pivot")
         while not cells.isEmpty():
             level += 1
             before = list(self.used)
             pairs, cells = self.step(cells, classes, level)
             if not pairs.isEmpty():
-                classes = self.merged(classes, self.test(pairs))
+                many = self.hot(pairs)
+                classes = self.merged(classes, self.test(pairs, many), many)
             self.forget(*[x for x in self.used if x is not cells and x is not classes and not any(x is y for y in before)])
         return classes
 
@@ -620,12 +620,14 @@ class Join:
         counts = at.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("k"), F.max("was").alias("was"))
         sizes = counts.groupBy("cell").agg(F.max(F.struct("k", "class")).alias("most"), F.count(F.lit(1)).alias("classes"), F.sum("k").alias("m"), F.max("was").alias("was"))
         out = F.col("m") - F.col("most.k")
-        main = sizes.where("classes > 1").select(
+        main = self.keep(sizes.where("classes > 1").select(
             "cell", F.col("most.class").alias("main"), "m", out.alias("out"), ((out <= LISTED) | (F.col("m") > SHRUNK * F.col("was"))).alias("listed"),
             ((out <= SMALL) | (F.col("was") == -1)).alias("last"),
-        )
-        live = self.keep(spread_join(at.drop("was"), main, "cell"), "live")
-        rows = live.join(self.wide, "node")
+        ), "main")
+        many = hot_keys(main, "cell")  # bounds what a cell's rows weigh in the joins below
+        live = self.keep(spread_join(at.drop("was"), main, "cell", many=many), "live")
+        # A list's first turn needs the narrow bitmaps only.
+        rows = live.join(self.wide, "node").withColumn("wide", F.when(F.col("listed") & ~F.col("last"), F.col("bits")).otherwise(F.col("wide"))).drop("bits")
 
         def blocks(c: str) -> Column:
             return F.ceil(F.col(c) / BLOCK).cast("int")
@@ -640,7 +642,7 @@ class Join:
         every = listed.select(*member, "last", F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("i"), own("m").alias("j"), F.lit(False).alias("outer"))
         compared = self.keep(outer.unionByName(every).groupBy("cell", "i", "j").applyInArrow(_list, "a long, b long, cell long"), "compared")
         more = compared.where("cell is not null").groupBy("cell").agg(F.lit(1).alias("more"))
-        again = spread_join(live.where("listed").select("cell", "node", "home", F.lit(-1).cast("long").alias("was")), more, "cell").drop("more")
+        again = spread_join(live.where("listed").select("cell", "node", "home", F.lit(-1).cast("long").alias("was")), more, "cell", many=many).drop("more")
         compared = compared.where("a is not null").select("a", "b")
         if live.where("not listed").isEmpty():
             pairs, left = self.keep(compared.distinct(), "pairs"), self.keep(again, "cells")
@@ -660,8 +662,8 @@ class Join:
         vain = self.keep(
             parts.groupBy("parent").agg(F.count(F.lit(1)).alias("rows"), F.max("was").alias("m")).where(F.col("rows") > COPIES * F.col("m")).select("parent", F.lit(True).alias("vain")), "vain"
         )
-        whole = spread_join(live.where("not listed").select(F.col("cell").alias("parent"), "node", "home"), vain, "parent").select(F.col("parent").alias("cell"), "node", "home", F.lit(0).cast("long").alias("was"))
-        cut = spread_join(parts.select("parent", "cell", "node", "home", "was"), vain, "parent", "left").where("vain is null").select("cell", "node", "home", "was")
+        whole = spread_join(live.where("not listed").select(F.col("cell").alias("parent"), "node", "home"), vain, "parent", many=many).select(F.col("parent").alias("cell"), "node", "home", F.lit(0).cast("long").alias("was"))
+        cut = spread_join(parts.select("parent", "cell", "node", "home", "was"), vain, "parent", "left", many=many).where("vain is null").select("cell", "node", "home", "was")
         left = self.keep(again.union(whole).union(cut), "cells")
         self.forget(divided, vain)
         return pairs, left

@@ -2,65 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shipping
+from ..sources.scratch import new_path
 
 ROWS_A_BATCH = 1000
-_shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, and keep batches for Python small."""
-    app = spark.sparkContext.applicationId
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_A_BATCH:  # whole texts: rows are large
+    """Send this package to the executors, and cut the session's batches for Python to ROWS_A_BATCH rows, as rows hold whole
+    texts; a smaller setting stays. The setting holds for the session's other queries as well."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_A_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
-    if app in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="tallyforge-code-")
-    copy = shutil.copytree(package, os.path.join(folder, "tree", os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
-    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "tallyforge_code"), "zip", os.path.dirname(copy)))
-    _shipped.add(app)
-
-
-def _own_dir() -> str:
-    made = tempfile.mkdtemp(prefix="tallyforge-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    return made
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset and the session runs in one process a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not set_by_hand.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        found = set_by_hand.get() if set_by_hand.isDefined() else _own_dir()
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def forget_at_exit(spark: SparkSession, path: str) -> None:
-    """Have Hadoop's file system delete ``path`` when the driver's JVM ends: results are lazy and may be read until then."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    shipping.ship(spark)
 
 
 def stage(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = new_path(spark, what)
     df.write.option("compression", compression).parquet(path)
-    forget_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -128,11 +94,13 @@ def spread_join(
     return dealt.join(copied, on if same is None else on & same, how).drop(salt, other, f"{other}_{salt}")
 
 
-def hot_keys(counts: DataFrame, key: str) -> list:
-    """Keys of (key, m) with more than 1,000 rows and a thousandth of all; a thousand at most."""
-    many = counts.where(F.col("m") > 1000)
-    top = many.crossJoin(counts.agg(F.sum("m").alias("_all"))).where(F.col("m") > F.col("_all") / 1000)  # one row
-    return [r[0] for r in top.select(key).collect()]
+def hot_keys(counts: DataFrame, key: str, total: int | None = None) -> list:
+    """Keys of (key, m) with more than 1,000 rows and a thousandth of all (``total`` where it is known); a thousand at most."""
+    many = counts.where(F.col("m") > 1000).orderBy(F.desc("m")).limit(1000).select(key, "m").collect()
+    if not many:
+        return []
+    total = counts.agg(F.sum("m")).first()[0] if total is None else total
+    return [r[0] for r in many if r.m > total / 1000]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
 from . import bpe
-from .shared import drop, forget_at_exit, parallelism, shared_dir, stage, table
+from .shared import drop, parallelism, stage, table
 
 MAGIC = b"TKSEG\0\0\1"
 HEAD = struct.Struct("<8sB7xQQ16s")
@@ -222,7 +222,6 @@ def read_document(spark: SparkSession, path: str, doc_id: int | None) -> list[np
 
 
 def op2_zstd_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    forget_at_exit(spark, path)
+    path = new_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

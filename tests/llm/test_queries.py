@@ -220,8 +220,7 @@ def test_own_columns_stay(spark):
     assert (got._node, got.best, got.verdict) == ("keep", "keep too", "allow")
 
 
-def test_folder_is_asked_for(spark, monkeypatch):
-    assert shared.shared_dir(spark)
+def test_fresh_names():
     assert shared.fresh(["Key", "_key", "b"], "key") == "__key"
 
 
