@@ -14,7 +14,6 @@ class TableDef:
     columns: tuple[str, ...]
     key: str | None = None
     casts: tuple[tuple[str, str], ...] = ()
-    size: int | None = None
 
 
 @dataclass(frozen=True)
@@ -67,12 +66,12 @@ class Schema:
     def _case(self, x: str) -> str:
         return x.lower() if self.lower else x
 
-    def add_table(self, name: str, columns: Iterable[str], key: str | None = None, casts: dict[str, str] | None = None, size: int | None = None) -> Schema:
+    def add_table(self, name: str, columns: Iterable[str], key: str | None = None, casts: dict[str, str] | None = None) -> Schema:
         name = self._case(name)
         if name in self.tables:
             raise SchemaError(f"table {name} is there already")
         self.tables[name] = TableDef(
-            name, tuple(map(self._case, columns)), key and self._case(key), tuple((self._case(k), v) for k, v in (casts or {}).items()), size
+            name, tuple(map(self._case, columns)), key and self._case(key), tuple((self._case(k), v) for k, v in (casts or {}).items())
         )
         return self
 

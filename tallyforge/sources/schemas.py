@@ -34,34 +34,34 @@ def testdata() -> Schema:
 CYCLE = FkDef("nation", "n_nationkey", "supplier", "s_nationkey")
 
 
-def _movies(name: str, tables: dict[str, tuple[int, list[str]]], keys: list[tuple[str, str, str, str]], texts: dict[str, list[str]]) -> Schema:
+def _movies(name: str, tables: dict[str, list[str]], keys: list[tuple[str, str, str, str]], texts: dict[str, list[str]]) -> Schema:
     s = Schema(name, lower=True)
-    for t, (size, columns) in tables.items():
-        s.add_table(t, columns, "id" if "id" in columns else None, dict.fromkeys(texts.get(t, []), "string"), size)
+    for t, columns in tables.items():
+        s.add_table(t, columns, "id" if "id" in columns else None, dict.fromkeys(texts.get(t, []), "string"))
     for key in keys:
         s.add_relationship(*key)
     return s
 
 
 def imdb() -> Schema:
-    # Tables, rows, columns, text columns and keys of the public data set.
+    # Tables, columns, text columns and keys of the public data set.
     tables = {
-        "kind_type": (7, ["id", "kind"]),
-        "title": (2528313, ["id", "title", "imdb_index", "kind_id", "production_year", "phonetic_code", "season_nr", "episode_nr", "series_years"]),
-        "movie_companies": (2609129, ["movie_id", "company_id", "company_type_id", "note"]),
-        "company_name": (234997, ["id", "name", "country_code"]),
-        "company_type": (4, ["id", "kind"]),
-        "aka_title": (361472, ["movie_id"]),
-        "cast_info": (36244344, ["person_id", "movie_id", "person_role_id", "note", "nr_order", "role_id"]),
-        "movie_info": (14835720, ["movie_id", "info_type_id", "info", "note"]),
-        "movie_info_idx": (1380035, ["movie_id", "info_type_id", "info"]),
-        "info_type": (113, ["id", "info"]),
-        "complete_cast": (135086, ["movie_id", "subject_id", "status_id"]),
-        "comp_cast_type": (4, ["id", "kind"]),
-        "movie_keyword": (4523930, ["movie_id", "keyword_id"]),
-        "keyword": (134170, ["id", "keyword", "phonetic_code"]),
-        "movie_link": (29997, ["movie_id", "linked_movie_id", "link_type_id"]),
-        "link_type": (18, ["id", "link"]),
+        "kind_type": ["id", "kind"],
+        "title": ["id", "title", "imdb_index", "kind_id", "production_year", "phonetic_code", "season_nr", "episode_nr", "series_years"],
+        "movie_companies": ["movie_id", "company_id", "company_type_id", "note"],
+        "company_name": ["id", "name", "country_code"],
+        "company_type": ["id", "kind"],
+        "aka_title": ["movie_id"],
+        "cast_info": ["person_id", "movie_id", "person_role_id", "note", "nr_order", "role_id"],
+        "movie_info": ["movie_id", "info_type_id", "info", "note"],
+        "movie_info_idx": ["movie_id", "info_type_id", "info"],
+        "info_type": ["id", "info"],
+        "complete_cast": ["movie_id", "subject_id", "status_id"],
+        "comp_cast_type": ["id", "kind"],
+        "movie_keyword": ["movie_id", "keyword_id"],
+        "keyword": ["id", "keyword", "phonetic_code"],
+        "movie_link": ["movie_id", "linked_movie_id", "link_type_id"],
+        "link_type": ["id", "link"],
     }
     texts = {
         "kind_type": ["kind"], "title": ["title", "imdb_index", "phonetic_code", "series_years"], "movie_companies": ["note"],
@@ -81,12 +81,12 @@ def imdb() -> Schema:
 def imdb_job_light() -> Schema:
     # The six tables of the light benchmark.
     tables = {
-        "title": (2528313, ["id", "kind_id", "production_year"]),
-        "movie_companies": (2609129, ["movie_id", "company_id", "company_type_id"]),
-        "cast_info": (36244344, ["movie_id", "role_id"]),
-        "movie_info": (14835720, ["movie_id", "info_type_id"]),
-        "movie_info_idx": (1380035, ["movie_id", "info_type_id"]),
-        "movie_keyword": (4523930, ["movie_id", "keyword_id"]),
+        "title": ["id", "kind_id", "production_year"],
+        "movie_companies": ["movie_id", "company_id", "company_type_id"],
+        "cast_info": ["movie_id", "role_id"],
+        "movie_info": ["movie_id", "info_type_id"],
+        "movie_info_idx": ["movie_id", "info_type_id"],
+        "movie_keyword": ["movie_id", "keyword_id"],
     }
     return _movies("imdb-job-light", tables, [("title", "id", t, "movie_id") for t in tables if t != "title"], {})
 
