@@ -15,6 +15,7 @@ from .graph import FkDef, breadth_first
 from .statistics import Tables, name, prefixed, subtree_weights
 
 BUCKETS = 256
+KEY_BUCKETS = 32  # parts of a key's rows: a key with a third of all rows is so many tasks' work
 
 
 def uniform(seed: int, tag: str, *keys: str) -> Column:
@@ -42,6 +43,18 @@ def _pick(rows: DataFrame, key: Column, weight: Column, draws: DataFrame, at: st
     return merged.where(F.col("_kind") == 1).select("sample", "_row")
 
 
+def _pick_in_parts(rows: DataFrame, key: Column, draws: DataFrame) -> DataFrame:
+    """``_pick`` in two steps, by the column __weight__: first a part of the key's rows, by the parts' sums, then a row of it."""
+    part = F.pmod(F.xxhash64(*[name(c) for c in rows.columns]), F.lit(KEY_BUCKETS)).cast("int")
+    sums = rows.groupBy(key.alias("_of"), part.alias("_part")).agg(F.sum(F.col("__weight__").cast("double")).alias("_w"))
+    ahead = Window.partitionBy("_of").orderBy("_part")  # KEY_BUCKETS rows a key at most
+    spans = sums.select("_of", "_part", (F.sum("_w").over(ahead) - F.col("_w")).alias("_lo"))
+    spans = spans.select("_of", "_part", "_lo", F.lead("_lo").over(ahead).alias("_hi"))  # a part ends where the next begins, to the bit
+    into = draws.join(spans, (F.col("_key") == F.col("_of")) & (F.col("_in") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("_in") < F.col("_hi"))))
+    asked = into.select("sample", F.struct(F.col("_of").alias("k"), F.col("_part").alias("b")).alias("_key"), (F.col("_in") - F.col("_lo")).alias("_in"))
+    return _pick(rows, F.struct(key.alias("k"), part.alias("b")), F.col("__weight__"), asked, "_in")
+
+
 def sample_rows(rows: DataFrame, weight: str, n: int, seed: int, tag: str) -> DataFrame:
     """n rows drawn with replacement in proportion to ``weight``; adds sample, 0 to n - 1. Weights of 0 are never drawn."""
     spark = rows.sparkSession
@@ -100,7 +113,7 @@ def sample_join(tables: Tables, edges: Iterable[FkDef], root: str, n: int, seed:
             draws = held.select("sample", key.alias("_key")).join(sums, "_key").withColumn("_in", uniform(seed, table, "sample") * F.col("_sum"))
             # Only keys that were drawn take part.
             drawn = rows.join(draws.select(F.col("_key").alias("_drawn")).distinct(), name(e.fk) == F.col("_drawn"), "left_semi")
-            picked = _pick(drawn, name(e.fk), F.col("__weight__"), draws, "_in").select("sample", "_row.*")
+            picked = _pick_in_parts(drawn, name(e.fk), draws).select("sample", "_row.*")
             picked = picked.select(F.col("sample").alias("_sample"), *[name(c).alias(c if c.startswith(f"{table}.__") else f"{table}.{c}") for c in picked.columns if c not in ("sample", "__weight__")], F.lit(True).alias(f"__in__:{table}"))
             held = held.join(picked, F.col("sample") == F.col("_sample"), "left").drop("_sample")
         mine = set(ready(table).columns)
