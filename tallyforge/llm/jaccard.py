@@ -720,9 +720,8 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     # Of repeated rows the least stays; aggregates are partial before their shuffle.
     row = F.struct(*[F.col(f"`{c}`") for c in own])
     least = exact.where(said).groupBy(key, one, text).agg(F.min(row).alias(key + "_row"))
-    out = stage(stay.union(least.select(F.col(key + "_row").alias(key)).select(f"{key}.*")), "one")
-    drop(*join.used)
-    return out
+    join.forget(*[x for x in join.used if x is not told])  # the result reads that one
+    return stay.union(least.select(F.col(key + "_row").alias(key)).select(f"{key}.*"))
 
 
 def op6_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
