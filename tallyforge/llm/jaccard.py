@@ -27,10 +27,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,7 @@ CORE = 0.75  # radius of the cells, in shingles of the pivots
 SHRUNK = 0.7  # a cell with more of the documents of the region it comes from is compared in blocks
 COPIES = 2.5  # a region is not divided into cells with so many times its documents
 WIDE = 4  # a wide bitmap has so many bits for each bit of a narrow one
+KEPT_SETS = 64  # sets that a comparing task keeps
 BUCKET_ROWS = 2_000_000  # prefix shingles a bucket
 HEAVY = 64  # documents with a shingle from which it comes late in the order
 MOST_HEAVY = 1 << 17  # shingles that are ordered by frequency at most (1 MB); it changes the work, not the result
@@ -337,12 +340,18 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of the intersection and the union of both sets, by the sets themselves."""
+    """Sizes of the intersection and the union of both sets, made anew from the packed texts; a node's pairs often follow one another."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("uni", pa.int64())])
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    @lru_cache(KEPT_SETS)
+    def found(packed: bytes) -> np.ndarray:
+        return shingles(unpack(packed).decode())
+
     for batch in batches:
         inter, uni = [], []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            u, v = found(x.as_py()), found(y.as_py())
             i = len(np.intersect1d(u, v, assume_unique=True))
             inter.append(i)
             uni.append(len(u) + len(v) - i)
@@ -350,8 +359,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("found", pa.binary()), ("bits", pa.binary()), ("wide", pa.binary())])
+    """Texts, packed (a set of 64-bit shingles takes about three times the room of its packed text), with their bitmaps."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("packed", pa.binary()), ("bits", pa.binary()), ("wide", pa.binary())])
     bpe.forget()
+    pack = zstandard.ZstdCompressor(3).compress
     seen: set[int] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
@@ -360,7 +371,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = shingles(text)
                 if len(x) and (node := node_of(x)) not in seen:
                     seen.add(node)
-                    rows.append((node, len(x), x.tobytes(), bitmap(x), bitmap(x, WIDE)))
+                    rows.append((node, len(x), pack(text.encode()), bitmap(x), bitmap(x, WIDE)))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
@@ -546,7 +557,7 @@ class Join:
         return sifted(named, nodes.select(F.xxhash64("node").alias("key")), "key", "maybe").where("maybe").drop("key", "maybe")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """node, n, found, bits and wide of all ``wanted`` nodes and of some others, made anew from one document each.
+        """node, n, packed, bits and wide of all ``wanted`` nodes and of some others, made anew from one document each.
 
         Documents are sifted by their name in the scan, at every size. What the sieve lets through beside them, and a node
         that several tasks made, does no harm: readers take one row a node.
@@ -554,14 +565,14 @@ class Join:
         reps = self.keep(self.nodes.join(wanted.distinct(), "node", "left_semi").select(F.xxhash64("rep.doc_id", "rep.h").alias("key")), "reps")
         told = self.docs.withColumn("key", F.xxhash64("doc_id", F.xxhash64("text")))
         found = sifted(told, reps, "key", "maybe").where("maybe")
-        made = self.keep(found.select("text").mapInArrow(_sets, "node long, n long, found binary, bits binary, wide binary"), "sets", "uncompressed")
+        made = self.keep(found.select("text").mapInArrow(_sets, "node long, n long, packed binary, bits binary, wide binary"), "sets", "uncompressed")
         self.forget(reps)
         return made
 
     def test(self, near: DataFrame, many: list) -> DataFrame:
         """Links among the pairs (a, b), by their sets. many: the hot ends."""
         ends = near.select(F.explode(F.array("a", "b")).alias("node"))
-        sets = self.of(self.sets.select("node", "found"), ends).groupBy("node").agg(F.first("found").alias("found"))
+        sets = self.of(self.sets.select("node", "packed"), ends).groupBy("node").agg(F.first("packed").alias("packed"))
         x, y = sets.toDF("a", "fa"), sets.toDF("b", "fb")
         both = spread_join(spread_join(near, x, "a", many=many), y, "b", many=many)
         tested = both.select("a", "b", "fa", "fb").mapInArrow(_compare, "a long, b long, inter long, uni long")
@@ -608,6 +619,7 @@ class Join:
                 many = self.hot(pairs)
                 classes = self.merged(classes, self.test(pairs, many), many)
             self.forget(*[x for x in self.used if x is not cells and x is not classes and not any(x is y for y in before)])
+        self.forget(self.sets)
         return classes
 
     def step(self, cells: DataFrame, classes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
