@@ -17,7 +17,7 @@ from ..operators import sampling, statistics
 from ..operators.graph import Schema, TableDef, breadth_first
 from ..operators.statistics import name
 from ..shipping import ship
-from ..sources import loaders
+from ..sources import embedded, loaders
 from ..sources.schemas import SCHEMAS, testdata
 from ..sources.scratch import new_path
 from ..sources.stages import Stages
@@ -48,11 +48,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("scan_jdbc", "SELECT n_nationkey, n_name, ROUND(n_regionkey / SUM(n_regionkey) OVER (), 9) AS share FROM nation")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A database table through JDBC (the embedded database that Spark brings along), a weight column scaled to sum 1."""
-    url = f"jdbc:derby:{new_path(spark, 'derby').removeprefix('file:')};create=true"
-    driver = "org.apache.derby.jdbc.EmbeddedDriver"
-    nations = loaders.read_tables(spark, d, testdata())["nation"].select(name("n_nationkey").alias("K"), name("n_name").alias("NAME"), name("n_regionkey").cast("double").alias("W")).coalesce(1)
-    nations.write.format("jdbc").options(url=url, dbtable="NATIONS", driver=driver).mode("overwrite").save()
-    found = loaders.read_jdbc(spark, url, "NATIONS", "W", driver=driver)
+    nations = loaders.read_tables(spark, d, testdata())["nation"].select(name("n_nationkey").alias("K"), name("n_name").alias("NAME"), name("n_regionkey").cast("double").alias("W"))
+    found = loaders.read_jdbc(spark, table="NATIONS", weight="W", **embedded.write_jdbc(spark, nations, "NATIONS"))
     return found.select(name("K").alias("n_nationkey"), name("NAME").alias("n_name"), F.round("W", 9).alias("share"))
 
 
